@@ -1,4 +1,6 @@
 """All queries of the core, by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import places
+
+QUERIES: dict = {**places.QUERIES}
+SQL: dict = {**places.SQL}
