@@ -9,9 +9,13 @@ from ..functions.text import key, word_count
 from ..sources.tables import table, unique_reviews
 from .cooccurrence import surprising_pairs
 from .distinctive_terms import distinctive_terms
+from .mixing import mix_sources
+from .packing import fill_containers
 from .similar_sets import expand_pairs, similar_sets
 from .term_index import marked_terms
+from .tokens import token_counts
 from .top_items import top_items
+from .visual_form import same_look, visual_form
 
 
 def _review_ids(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -84,3 +88,43 @@ def p6_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_similar_business, p2_found, p2_term_frequency, p4_found, p4_wordiest_reviews, p5_found, p5_surprise, p6_found, p6_profile)}
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents").where(F.col("doc_id").isNotNull()), ["doc_id", "source"], "text")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of 2,048 tokens of each text, or of each piece of a text larger than that."""
+    sized = _sized(spark, folder).join(table(spark, folder, "documents").where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    return fill_containers(sized, "doc_id", "tokens", 2048)
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the largest mixture with the target shares, and how often each is used."""
+    return mix_sources(_sized(spark, folder), "doc_id", "source", "tokens", table(spark, folder, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share that each target source reaches."""
+    return mix_sources(_sized(spark, folder), "doc_id", "source", "tokens", table(spark, folder, "mix_target"))[1]
+
+
+def _forms(spark: SparkSession, folder: str) -> DataFrame:
+    return visual_form(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents whose texts look the same but are not."""
+    pairs, members = same_look(_forms(spark, folder), "doc_id", "text")
+    a, b = (members.select(F.col("record").alias(f"d{k}"), F.col("text_key").alias(f"key_{k}")) for k in "ab")
+    both = pairs.join(a, "key_a").join(b, "key_b")
+    return both.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"))
+
+
+def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every text, by digest, and whether it differs from the text."""
+    return _forms(spark, folder).select("doc_id", F.md5("form").alias("form_md5"), (F.col("form") != F.col("text")).alias("changed"))
+
+
+QUERIES |= {f.__name__: f for f in (p8_containers, p9_mixture, p9_shares, p10_found, p10_forms)}
