@@ -1,6 +1,6 @@
 """All queries of the core, by name, and their SQL."""
 
-from . import places
+from . import mining, places
 
-QUERIES: dict = {**places.QUERIES}
-SQL: dict = {**places.SQL}
+QUERIES: dict = {**mining.QUERIES, **places.QUERIES}
+SQL: dict = {**mining.SQL, **places.SQL}
