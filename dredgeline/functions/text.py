@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: A maximal run of letters or digits.
 WORD = r"[\p{L}\p{N}]+"
 #: Characters removed from a token, fixed values: the basic and the extended set.
-PUNCTUATION = ".,!?;:)]["
-PUNCTUATION_EXTENDED = PUNCTUATION + '("#$'
+PUNCTUATION = ".,!?;:)](["
+PUNCTUATION_EXTENDED = PUNCTUATION + '"#$'
 
 
 def words(text: Column) -> Column:

@@ -186,27 +186,35 @@ def _division(edges: list[tuple]) -> list[tuple[float, float, float, dict]]:
     """Steps of dividing one component: ``(strength, inner ends, sum of squared degrees, communities)`` of each state.
 
     ``strength`` is the largest betweenness in the state, to 9 digits, by which the next edges are taken out; the last
-    state, without edges, has strength 0.
+    state, without edges, has strength 0. Only the parts that lose an edge are measured again.
     """
     adjacent: dict = defaultdict(set)
     for u, w in edges:
         adjacent[u].add(w)
         adjacent[w].add(u)
-    steps = []
+
+    def measured(members: set) -> list[tuple]:
+        """The parts of some vertices: ``(smallest vertex, vertices, degree, edge scores)``."""
+        inner = {v: adjacent[v] for v in members}
+        by_part = defaultdict(set)
+        for v, c in _parts(inner).items():
+            by_part[c].add(v)
+        return [(c, vs, sum(len(adjacent[v]) for v in vs), {e: round(b, 9) for e, b in _betweenness({v: adjacent[v] for v in vs}).items()}) for c, vs in by_part.items()]
+
+    steps, state = [], {p[0]: p for p in measured(set(adjacent))}
     while True:
-        parts = _parts(adjacent)
-        degree: dict = defaultdict(int)
-        for v, c in parts.items():
-            degree[c] += len(adjacent[v])
-        scores = _betweenness(adjacent)
-        strength = max((round(b, 9) for b in scores.values()), default=0.0)
-        steps.append((strength, float(sum(degree.values())), float(sum(d * d for d in degree.values())), parts))
-        if not scores:
+        strength = max((b for p in state.values() for b in p[3].values()), default=0.0)
+        communities = {v: c for c, p in state.items() for v in p[1]}
+        steps.append((strength, float(sum(p[2] for p in state.values())), float(sum(p[2] ** 2 for p in state.values())), communities))
+        if not strength:
             return steps
-        for (u, w), b in scores.items():
-            if round(b, 9) == strength:
-                adjacent[u].discard(w)
-                adjacent[w].discard(u)
+        for part in [p for p in state.values() if p[3] and max(p[3].values()) == strength]:
+            for (u, w), b in part[3].items():
+                if b == strength:
+                    adjacent[u].discard(w)
+                    adjacent[w].discard(u)
+            del state[part[0]]
+            state |= {p[0]: p for p in measured(part[1])}
 
 
 def girvan_newman(v: DataFrame, e: DataFrame, denominator: str = "2m") -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bytes_mod, coefficients, trailing_zeros, universal
 
-#: Size of the bit table and modulus of the hashes.
+#: Size of the bit table and modulus of its hashes; modulus of the counting hashes.
 BLOOM_BITS, BLOOM_MODULUS = 3_736_850, 23_333_333_333
+FM_MODULUS = 8191
 
 
 def _positions(name: Column, k: int, m: int, p: int, seed: int) -> Column:
@@ -32,14 +33,13 @@ def bloom_probe(names: DataFrame, column: str, bits: DataFrame, k: int = 50, m:
     return asked.join(hits, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def distinct_estimate(value: Column, hashes: int = 30, groups: int = 15, seed: int = 11) -> tuple[list[Column], Column]:
+def distinct_estimate(x: Column, hashes: int = 30, groups: int = 15, seed: int = 11) -> tuple[list[Column], Column]:
     """Aggregates and, over their names, the estimate: the median of the groups' means of ``2**(trailing zeros)``.
 
-    The most trailing zeros of each of the hashes modulo 8,191 are kept; batch and stream use the same expressions.
+    ``x`` is the value as a number modulo ``FM_MODULUS``. The most trailing zeros of each hash are kept; batch and stream
+    use the same expressions.
     """
-    modulus = 8191
-    x = F.when(value != "", bytes_mod(value, modulus))
-    most = [F.max(trailing_zeros(universal(x, a, b, modulus))).alias(f"z{i}") for i, (a, b) in enumerate(coefficients(seed, hashes, 0, 2**16 - 1))]
+    most = [F.max(trailing_zeros(universal(x, a, b, FM_MODULUS))).alias(f"z{i}") for i, (a, b) in enumerate(coefficients(seed, hashes, 0, 2**16 - 1))]
     per = hashes // groups
     means = [sum((F.pow(F.lit(2.0), f"z{g * per + i}") for i in range(per)), F.lit(0.0)) / per for g in range(groups)]
     middle = F.element_at(F.array_sort(F.array(*means)), groups // 2 + 1)
@@ -55,7 +55,8 @@ def fm_window(df: DataFrame, ts: str, value: str, window: str = "30 seconds", sl
     rows = df.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(value).cast("string").alias("_v")).where("_ts is not null and _v != ''")
     if watermark is not None:
         rows = rows.withWatermark("_ts", watermark)
-    most, estimate = distinct_estimate(F.col("_v"), hashes, groups, seed)
+    rows = rows.withColumn("_x", bytes_mod(F.col("_v"), FM_MODULUS))  # once a row, not once a hash and window
+    most, estimate = distinct_estimate(F.col("_x"), hashes, groups, seed)
     exact = F.size(F.collect_set("_v")).cast("long") if df.isStreaming else F.count_distinct("_v")
     held = rows.groupBy(F.window("_ts", window, slide).alias("w")).agg(exact.alias("exact"), *most)
     return held.select(F.col("w.start").alias("window_start"), "exact", estimate.alias("estimate"))

@@ -15,7 +15,7 @@ from ..streaming.windows import distinct_stream
 
 YEAR, TOP, BUSY = 2021, 20, 40
 ITEMSET_SHARE, ITEMSET_SIZE = 0.01, 3
-SHARED_BUSINESSES, SHARED_USERS = 4, 8
+SHARED_BUSINESSES, SHARED_USERS = 4, 12
 WINDOW, SLIDE = "1 day", "6 hours"
 
 
@@ -448,7 +448,8 @@ SQL = {
     "tfidf": f"with {_TFIDF} select doc, word, round(tf, 6) as tf, round(idf, 6) as idf, round(score, 6) as score from sc",
     "business_profile": f"with {_PROFILE} select doc, word from bp",
     "user_profile": f"with {_UP} select u as user_id, count(*) as n, md5(string_agg(word, ' ' order by word)) as words_md5 from up group by u",
-    "cosine_score": f"""with {_UP}, asked as (select distinct nullif(trim(user_id), '') as u, nullif(trim(business_id), '') as b from pairs_to_score), su as (select u, count(*) as n from up group by u), sb as (select doc as b, count(*) as n from bp group by doc),
+    "cosine_score": f"""with asked as (select distinct nullif(trim(user_id), '') as u, nullif(trim(business_id), '') as b from pairs_to_score),
+        {_UP.replace("from r where user_id is not null", "from r where user_id in (select u from asked)")}, su as (select u, count(*) as n from up group by u), sb as (select doc as b, count(*) as n from bp group by doc),
         met as (select asked.u, asked.b, count(*) as c from asked join bp on bp.doc = asked.b join up on up.u = asked.u and up.word = bp.word group by all)
         select met.u as user_id, met.b as business_id, round(c / (sqrt(su.n) * sqrt(sb.n)), 6) as sim from met join su on su.u = met.u join sb on sb.b = met.b where c / (sqrt(su.n) * sqrt(sb.n)) > 0.01""",
     "entity_averages": f"with {_R} select business_id, round(avg(stars), 6) as avg_stars from r where business_id is not null and stars is not null group by 1",
