@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.skew import hot_keys, salted
-from ..session import scratch_path
+from ..session import scratch_path, written
 
 
 def write_clustered(df: DataFrame, group: str, score: str, tie: str, path: str, row_group_bytes: int = 1 << 20, shares: int = 256, floor: int = 50_000) -> None:
@@ -19,7 +19,8 @@ def write_clustered(df: DataFrame, group: str, score: str, tie: str, path: str,
     A hot group's rows are spread over several files, so no task holds a group of unbounded size. Small row groups
     give their score statistics something to skip.
     """
-    narrow = df.select(F.col(group).alias("grp"), F.col(score).alias("score"), F.col(tie).alias("tie")).dropna()
+    # written once: counting the groups must not compute the rows again
+    narrow = written(df.select(F.col(group).alias("grp"), F.col(score).alias("score"), F.col(tie).alias("tie")).dropna(), "narrow")
     spread = salted(narrow, "grp", F.col("tie"), hot_keys(narrow, "grp", shares, floor))
     (spread.repartition("grp", "salt").sortWithinPartitions("grp", F.desc("score"), "tie").drop("salt")
      .write.option("parquet.block.size", str(row_group_bytes)).parquet(path))
