@@ -59,6 +59,13 @@ def _least_overlap(threshold: float, a: Column, b: Column) -> Column:
     return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
+def _size_class(threshold: float) -> Column:
+    """Sets that can be similar are in the same class of sizes or in neighbouring ones."""
+    if threshold == 1:
+        return F.col("n").cast("int")
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9).cast("int")
+
+
 def _join_in_cells(sets: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """Exact pairs of sets that share a cell.
 
@@ -66,11 +73,9 @@ def _join_in_cells(sets: DataFrame, cells: DataFrame, threshold: float) -> DataF
     ``n - ceil(threshold * n) + 1`` items in order of frequency. Only sets of compatible size meet (size classes in the
     join key), and only where the items left can still reach the overlap. Items of one set only are left out.
     """
-    base = F.lit(1 / threshold + 1e-9) if threshold < 1 else F.lit(1 + 1e-9)
-    size_class = F.floor(F.log(F.col("n")) / F.log(base) + 1e-9).cast("int") if threshold < 1 else F.col("n").cast("int")
     prefix = (
         sets.join(cells, "record")
-        .select("record", "cell", "n", size_class.alias("class"), F.posexplode(F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)).alias("pos", "e"))
+        .select("record", "cell", "n", _size_class(threshold).alias("class"), F.posexplode(F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)).alias("pos", "e"))
         .where(F.col("e.df") > 1).select("record", "cell", "n", "class", "pos", F.col("e.item").alias("item"))
     )
     a = prefix.select("cell", "item", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("record").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
@@ -88,21 +93,22 @@ def _join_in_cells(sets: DataFrame, cells: DataFrame, threshold: float) -> DataF
     return candidates.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("shared"))
 
 
-def _join_large(large: DataFrame, threshold: float, above: int) -> DataFrame:
-    """Exact pairs of which one set has more than ``above`` items, counted item by item without holding a set.
+def _join_large(big: DataFrame, threshold: float, above: int) -> DataFrame:
+    """Exact pairs of which one set has more than ``above`` items, item by item, without holding a set in one row.
 
-    Only sets above ``threshold * above`` take part, of which there are few, and only pairs of compatible size are
-    counted, with map-side combine: no more than those pairs leave a task.
+    ``big`` has the ``(record, item, n, df)`` of all sets above ``threshold * above``. Two similar sets share one of the rarest
+    items of each, as in :func:`_join_in_cells`; here those are all items up to a quantile of the set's item
+    frequencies that is surely far enough. Candidates are then counted over all items, with map-side combine.
     """
-    x = large.select("item", F.col("record").alias("a"), F.col("n").alias("na"))
-    y = large.select("item", F.col("record").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("na") > above) & (F.col("na") >= F.col("nb")) & (F.col("nb") >= threshold * F.col("na")) & ((F.col("na") > F.col("nb")) | (F.col("a") < F.col("b")))
-    sizes_x, sizes_y = (d.drop("item").distinct() for d in (x, y))
-    wanted = sizes_x.join(sizes_y, fits).select("a", "b")  # sets of this size: few
-    members = large.join(wanted.select(F.explode(F.array("a", "b")).alias("record")).distinct(), "record", "left_semi")
-    x = members.select("item", F.col("record").alias("a"), F.col("n").alias("na"))
-    y = members.select("item", F.col("record").alias("b"), F.col("n").alias("nb"))
-    return x.join(y, "item").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").cast("int").alias("shared"))
+    enough = min(1.0, 1 - threshold + max(0.01, 3 / (threshold * above)))
+    cut = big.groupBy("record").agg(F.percentile_approx("df", enough, 10_000).alias("cut"))
+    rare = big.join(cut, "record").where((F.col("df") <= F.col("cut")) & (F.col("df") > 1)).withColumn("class", _size_class(threshold))
+    x = rare.where(F.col("n") > above).select("item", "class", F.col("record").alias("a"), F.col("n").alias("na"))
+    y = rare.select("item", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("record").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("na") >= F.col("nb")) & (F.col("nb") >= F.ceil(threshold * F.col("na") - 1e-9)) & ((F.col("na") > F.col("nb")) | (F.col("a") < F.col("b")))
+    candidates = x.join(y, ["item", "class"]).where(fits).select("a", "b", "na", "nb").distinct()
+    held = candidates.join(big.select(F.col("record").alias("b"), "item"), "b")
+    return held.join(big.select(F.col("record").alias("a"), "item"), ["a", "item"]).groupBy("a", "b", "na", "nb").agg(F.count("*").cast("int").alias("shared"))
 
 
 def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5, min_size: int = 1, n_pivots: int = 64,
