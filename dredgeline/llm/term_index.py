@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -42,11 +43,11 @@ def union(containers: list[bytes]) -> bytes:
     return pack(np.unique(np.concatenate([unpack(c) for c in containers])))
 
 
-def _rows(postings: dict[str, list[int]], occurrences: dict[str, int], chunk: int) -> pa.RecordBatch:
+def _rows(postings: dict[str, array], occurrences: dict[str, int], chunk: int) -> pa.RecordBatch:
     names = list(postings)
     return pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), pa.array([chunk] * len(names), pa.int64()), pa.array([occurrences[t] for t in names], pa.int64()),
-         pa.array([pack(np.fromiter(postings[t], "<u2", len(postings[t]))) for t in names], pa.binary())],
+         pa.array([pack(np.frombuffer(postings[t], np.uint16)) for t in names], pa.binary())],
         names=["term", "chunk", "occurrences", "container"])
 
 
@@ -63,7 +64,7 @@ def term_index(records: DataFrame, column: str, pattern: str | None = None) -> D
 
     def build(batches):
         chunk, low = TaskContext.get().partitionId() << 32, 0
-        postings: dict[str, list[int]] = defaultdict(list)
+        postings: dict[str, array] = defaultdict(lambda: array("H"))  # two bytes a posting
         occurrences: dict[str, int] = defaultdict(int)
         for batch in batches:
             for value in batch.column(0).to_pylist():
