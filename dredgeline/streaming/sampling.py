@@ -34,8 +34,9 @@ def keep(kept: list, seen: int, new: list, capacity: int, draw: random.Random) -
 def reservoir_stream(messages: DataFrame, tags: str, capacity: int = 100, shards: int = 1, seed: int = 0) -> DataFrame:
     """``(shard, seen, tags)`` in update mode: after each batch, the sample of the tag lists seen so far by each shard.
 
-    Only messages with tags, all of letters and digits, are taken. With several shards, each holds a uniform sample of its own
-    messages; ``seen`` is what their union has to be weighted by. The state is bounded by ``capacity``.
+    Only messages with tags, all of letters and digits, are taken. The state is bounded by ``capacity``. One shard is one
+    task a batch; a fast stream wants several, each with a uniform sample of its own messages, and :func:`merge_shards`
+    makes one sample of the latest of each.
     """
     rows = messages.select(F.col(tags).alias("tags"), F.pmod(F.hash(F.to_json(F.struct(tags))), F.lit(shards)).alias("shard"))
 
@@ -52,6 +53,28 @@ def reservoir_stream(messages: DataFrame, tags: str, capacity: int = 100, shards
     return rows.groupBy("shard").applyInPandasWithState(update, OUTPUT, STATE, "update", "NoTimeout")
 
 
+def merge_shards(shards: dict[int, tuple[int, list]], capacity: int = 100, draw: random.Random | None = None) -> list:
+    """A uniform sample of everything seen, from the uniform samples of several shards: ``{shard: (seen, kept)}``.
+
+    Each place goes to a shard in proportion to what it has seen and not yet given, so every set is equally likely.
+    """
+    draw = draw or random.Random(0)
+    left = {k: seen for k, (seen, _) in shards.items()}
+    kept = {k: draw.sample(list(rows), len(rows)) for k, (_, rows) in shards.items()}
+    out: list = []
+    while len(out) < capacity and (total := sum(left.values())):
+        at = draw.randrange(total)
+        for k, n in left.items():
+            if at < n:
+                break
+            at -= n
+        if not kept[k]:
+            raise ValueError("a shard's sample is smaller than the capacity asked for")
+        out.append(kept[k].pop())
+        left[k] -= 1
+    return out
+
+
 def trending(sample: list[list[str]], top: int = 3) -> list[tuple[str, int]]:
     """Tags whose count is among the ``top`` highest distinct counts, highest first, then by name."""
     counts = Counter(t for tags in sample for t in tags)

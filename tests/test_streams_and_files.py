@@ -56,6 +56,22 @@ def test_reservoir_is_uniform():
     assert all(abs(h - 750) < 120 for h in hits)
 
 
+def test_merged_shards_are_uniform():
+    hits = [0] * 30
+    for trial in range(3000):
+        draw = random.Random(trial)
+        shards = {}
+        for k, (start, end) in enumerate([(0, 20), (20, 27), (27, 30)]):
+            kept: list = []
+            shards[k] = (sampling.keep(kept, 0, list(range(start, end)), 6, draw), kept)
+        merged = sampling.merge_shards(shards, 6, draw)
+        assert len(set(merged)) == 6
+        for k in merged:
+            hits[k] += 1
+    assert all(abs(h - 600) < 110 for h in hits)
+    assert sampling.merge_shards({}, 5) == [] and sampling.merge_shards({1: (2, ["a", "b"])}, 5, random.Random(1)) in (["a", "b"], ["b", "a"])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"review_id": "1", "text": "x", "more": 1}\n{"review_id": "2", "stars": "5.0"}\n')
     got = files.json_lines(spark, str(tmp_path / "r.json"), files.REVIEW)
