@@ -120,9 +120,6 @@ def bin_completion(counts: np.ndarray, capacity: int, width: int = 3, nodes: int
     best = best_fit(counts, capacity)
     fewest, bound, state = sum(t for _, t in best), -(-total // capacity), {"left": nodes}
 
-    class Node:
-        __slots__ = ("options", "stock", "waste")
-
     def options(stock: _Stock) -> list[tuple[dict[int, int], int]]:
         largest = stock.largest()
         without = _Stock(stock.counts)
