@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import has_word, word_count, words
+from ..functions.text import has_word, words
 from ..operators.skew import hot_keys, salted
+from ..session import written
 
 #: Stands for "any term": its count is the record's number of documents, its record frequency the number of records.
 ANY = ""
@@ -51,23 +52,16 @@ def tf_idf(k, d, n):
     return np.floor(np.asarray(k) * np.log2(np.asarray(n) / np.asarray(d)) * 1e6 + 0.5) / 1e6
 
 
-def term_counts(docs: DataFrame, record: str, doc: str, text: str, hot: DataFrame) -> DataFrame:
-    """``(bucket, hot, record, term, k)`` of distinct documents, counted where one shuffle of the text has put them.
+def _once(docs: DataFrame, *place: str) -> DataFrame:
+    """Distinct documents, sorted out where one shuffle of the text by the first column of ``place`` has put them."""
+    first = F.lag(F.lit(1)).over(Window.partitionBy(*place, "doc").orderBy("text"))
+    return docs.repartition(place[0]).withColumn("_again", first).where(F.col("_again").isNull())
 
-    All copies of a document go to the same bucket. A hot record's documents go to several buckets, so there its counts
-    are partial. ``ANY`` is added to each document's terms.
-    """
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(record).alias("record"), F.col(doc).alias("doc"), F.col(text).alias("text")).where(
-        F.col("record").isNotNull() & F.col("doc").isNotNull() & has_word(F.col("text")))
-    held = salted(rows, "record", F.col("doc"), hot.withColumn("salts", F.greatest("salts", F.lit(2))))
-    held = held.join(F.broadcast(hot.select("record", F.lit(True).alias("hot"))), "record", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    held = held.withColumn("bucket", F.pmod(F.xxhash64("record", "salt"), F.lit(buckets)).cast("int")).repartition("bucket")
-    first = F.lag(F.lit(1)).over(Window.partitionBy("bucket", "record", "salt", "doc").orderBy("text"))
-    once = held.withColumn("_again", first).where(F.col("_again").isNull())
-    terms = once.select("bucket", "hot", "record", F.explode(F.concat(words(F.col("text")), F.array(F.lit(ANY)))).alias("term"))
-    return terms.groupBy("bucket", "hot", "record", "term").agg(F.count("*").alias("k"))
+
+def _counts(docs: DataFrame, *place: str) -> DataFrame:
+    """``(*place, term, k)``: terms of distinct documents, with ``ANY`` once for each document."""
+    terms = _once(docs, *place).select(*place, F.explode(F.concat(words(F.col("text")), F.array(F.lit(ANY)))).alias("term"))
+    return terms.groupBy(*place, "term").agg(F.count("*").alias("k"))
 
 
 def _whole(weight: float, tokens: int, per_record: int | None, by: str):
@@ -125,33 +119,41 @@ def distinctive_terms(docs: DataFrame, record: str, doc: str, text: str, weight:
     ``per_record`` keeps the best terms of each record by ``p_record`` or ``score``, ties to the smaller term. NULL keys
     and texts without a term are ignored; an empty table gives no rows.
 
-    The text is shuffled once. Term statistics travel to the buckets that hold the term, not the counts to the terms.
+    Terms are counted where the records' texts have been shuffled to, for the statistics and again for the scores: texts are
+    several times smaller than counts by record and term. Term statistics travel to the buckets that hold the term.
+    A record with very many documents is counted in parts, and its terms are scored one by one in parallel.
     """
     if by not in ("p_record", "score"):
         raise ValueError("by must be p_record or score")
-    keyed = docs.select(F.col(record).alias("record"), F.col(doc).alias("doc"), F.col(text).alias("text"))
-    hot = hot_keys(keyed.select("record").where(F.col("record").isNotNull()), "record", shares, floor)
-    sized = keyed.where(F.col("record").isNotNull() & F.col("doc").isNotNull()).select("record", "doc", word_count(F.col("text")).alias("w")).distinct()
-    tokens = max(1, sized.agg(F.sum("w")).first()[0] or 0)
-
-    counts = term_counts(docs, record, doc, text, hot)
-    whole = counts.where(~F.col("hot"))
-    split = counts.where(F.col("hot")).groupBy("record", "term").agg(F.sum("k").alias("k"))
-    seen = whole.groupBy("bucket", "term").agg(F.count("*").alias("d"), F.sum("k").alias("cf")).unionByName(
-        split.groupBy("term").agg(F.count("*").alias("d"), F.sum("k").alias("cf")).withColumn("bucket", F.lit(None).cast("int")))
-    stats = seen.groupBy("term").agg(F.sum("d").alias("d"), F.sum("cf").alias("cf"), F.collect_list("bucket").alias("buckets"))
-    sent = stats.select(F.explode("buckets").alias("bucket"), *(F.col(c).alias(c) for c in ("term", "d", "cf")))  # new columns, apart from those of whole
-
-    scored = whole.select("bucket", "record", "term", "k").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(
-        _whole(weight, tokens, per_record, by), SCHEMA)
-    if hot.isEmpty():
-        return scored.select(*COLUMNS)
-    return scored.unionByName(_split_records(split, stats.select("term", "d", "cf"), weight, tokens, per_record, by)).select(*COLUMNS)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(record).alias("record"), F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("record").isNotNull() & F.col("doc").isNotNull())
+    hot = written(hot_keys(rows.select("record"), "record", shares, floor), "hot-records")
+    some_hot = not hot.isEmpty()
+    rows = rows.where(has_word(F.col("text")))
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("record"), F.lit(buckets)).cast("int").alias("bucket")
+    cold = rows.join(F.broadcast(hot.select("record")), "record", "left_anti") if some_hot else rows
+    whole = _counts(cold.select(bucket, "record", "doc", "text"), "bucket", "record")
+
+    seen = whole.groupBy("bucket", "term").agg(F.count("*").alias("d"), F.sum("k").alias("cf"))
+    if some_hot:
+        spread = salted(rows.join(F.broadcast(hot.select("record")), "record", "left_semi"), "record", F.col("doc"), hot.withColumn("salts", F.greatest("salts", F.lit(2))))
+        parts = _counts(spread.select(F.xxhash64("record", "salt").alias("part"), "record", "doc", "text"), "part", "record")
+        split = written(parts.groupBy("record", "term").agg(F.sum("k").alias("k")), "split-counts")
+        seen = seen.unionByName(split.groupBy("term").agg(F.count("*").alias("d"), F.sum("k").alias("cf")).withColumn("bucket", F.lit(None).cast("int")))
+    stats = written(seen.groupBy("term").agg(F.sum("d").alias("d"), F.sum("cf").alias("cf"), F.collect_list("bucket").alias("buckets")), "term-statistics")
+    tokens = max(1, stats.where(F.col("term") != ANY).agg(F.sum("cf")).first()[0] or 0)
+    sent = stats.select(F.explode("buckets").alias("bucket"), "term", "d", "cf")
+
+    scored = whole.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_whole(weight, tokens, per_record, by), SCHEMA)
+    if some_hot:
+        scored = scored.unionByName(_split_records(split, stats.select("term", "d", "cf"), weight, tokens, per_record, by))
+    return scored.select(*COLUMNS)
 
 
 def _split_records(split: DataFrame, stats: DataFrame, weight: float, tokens: int, per_record: int | None, by: str) -> DataFrame:
     """Scores records spread over tasks: terms of equal count and background share one row of the iteration."""
-    held = split.join(stats, "term")
+    held = written(split.join(stats, "term"), "split-terms")
     some = held.where(F.col("term") == ANY).select("record", F.col("k").alias("docs"), F.col("d").alias("n"))
     held = held.where(F.col("term") != ANY)
     kinds = held.groupBy("record", "k", "cf").agg(F.count("*").alias("copies"))
