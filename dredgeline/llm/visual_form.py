@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
 #: Letters of other alphabets with the shape of a Latin letter, lower case, then upper case.
 LOOK_ALIKE = {
     # Cyrillic
@@ -120,8 +122,8 @@ def _ranges(points: set[str]) -> str:
     return "".join(out)
 
 
-#: A text without these is in its form already: all others are printing ASCII, tabs and line ends.
-_TOUCHED = r"[^\x09-\x0D\x20-\x7E]"
+#: A text without any of these about 4,000 code points is in its form already.
+_TOUCHED = "".join(sorted({r[0] for r in _rows} | _joining)).replace("\0", "")
 #: Marks, and the few other code points that join the one before.
 _JOINED = r"[\p{M}" + _ranges({c for c in _joining if unicodedata.category(c)[0] != "M"}) + "]"
 
@@ -140,15 +142,17 @@ def visual_form(df: DataFrame, record: str, text: str) -> DataFrame:
     NULL form; a text of invisible characters only has the empty form. ``record`` must be unique; other columns are
     not read.
 
-    Texts of code points that stand for themselves are their own form. All others are taken apart into positioned code
+    Texts of code points that stand for themselves, and join nothing, are their own form. All others are taken apart into positioned code
     points, mapped by a broadcast join, and rebuilt; where marks stand apart from their letters, each letter is
     recomposed with its marks.
     """
     spark = df.sparkSession
     rows = df.select(F.col(record).alias("record"), F.col(text).alias("text"))
-    touched = F.coalesce(F.col("text").rlike(_TOUCHED), F.lit(False))
+    # translate looks each code point up in one table, which a character class of hundreds of ranges does not
+    kept = F.translate("text", _TOUCHED, "")
+    touched = F.coalesce((F.col("text") != kept) | F.contains("text", F.lit("\0")), F.lit(False))
     plain = rows.where(~touched).select("record", "text", F.col("text").alias("form"))
-    apart = rows.where(touched)
+    apart = rows.where(touched).repartition("record")  # shuffled as texts; code points then stay where they are
     table = F.broadcast(mapping(spark))
 
     points = apart.select("record", F.col("text").rlike(_JOINED).alias("marked"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
@@ -167,10 +171,12 @@ def visual_form(df: DataFrame, record: str, text: str) -> DataFrame:
     # marks are put in order of their class and composed letter by letter
     letters = lettered.groupBy("record", "letter").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     whole = letters.select("record", "pos", F.array_join("parts.part", "").alias("part"))
-    built = simple.unionByName(whole.select("record", "pos", composed("part").alias("part")))
-    formed = built.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part"))).getField("part"), "").alias("form"))
-    done = apart.join(formed, "record", "left").select("record", "text", F.coalesce("form", F.lit("")).alias("form"))
-    return plain.unionByName(done).select(F.col("record").alias(record), F.col("text").alias(text), "form")
+    joined = lambda parts: parts.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part"))).getField("part"), "").alias("form"))
+    is_marked = F.col("text").rlike(_JOINED)
+    done = plain
+    for part, built in ((~is_marked, simple), (is_marked, whole.select("record", "pos", composed("part").alias("part")))):
+        done = done.unionByName(apart.where(part).join(joined(built), "record", "left").select("record", "text", F.coalesce("form", F.lit("")).alias("form")))
+    return done.select(F.col("record").alias(record), F.col("text").alias(text), "form")
 
 
 def same_look(forms: DataFrame, record: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -181,6 +187,7 @@ def same_look(forms: DataFrame, record: str, text: str) -> tuple[DataFrame, Data
     and NULL texts take no part.
     """
     seen = forms.where(F.col("form").rlike(r"[^\s\p{Z}\p{C}]")).select(F.col(record).alias("record"), F.md5(text).alias("text_key"), F.md5("form").alias("form_key"))
+    seen = written(seen, "forms")  # read several times
     texts = seen.select("form_key", "text_key").distinct()
     several = texts.groupBy("form_key").count().where(F.col("count") > 1).select("form_key")
     able = texts.join(several, "form_key", "left_semi")
