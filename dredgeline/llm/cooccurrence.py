@@ -133,8 +133,7 @@ def surprising_pairs(df: DataFrame, basket: str, item: str, min_count: int = 5,
     spark = df.sparkSession
     raw = df.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item")).dropna().distinct()
     names = written(raw.groupBy("item").agg(F.count("*").alias("n_item")).withColumn("id", F.monotonically_increasing_id()), "items")
-    keyed = raw.join(names, "item").select(F.xxhash64("basket", F.lit(7)).alias("h1"), "basket", F.col("id").alias("item"), "n_item")
-    edges = written(keyed.drop("h1"), "edges")
+    edges = written(raw.join(names, "item").select("basket", F.col("id").alias("item"), "n_item"), "edges")
     degrees = edges.groupBy("basket").agg(F.count("*").alias("k")).groupBy(_class_column("k").alias("class")).agg(F.count("*").alias("n"), F.avg("k").alias("degree")).orderBy("class").toPandas()
     freqs = names.groupBy(_class_column("n_item").alias("class")).agg(F.count("*").alias("n"), F.avg("n_item").alias("degree")).orderBy("class").toPandas()
     n, n_items = int(degrees["n"].sum()), int(freqs["n"].sum())
