@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: The cell of records that no pivot is near to.
-FAR = -1
-
-
 def record_sets(df: DataFrame, record: str, item: str, min_size: int = 1) -> DataFrame:
     """Distinct non-null ``(record, item)`` with the item's frequency ``df`` and the record's set size ``n``."""
     pairs = df.select(F.col(record).alias("record"), F.col(item).alias("item")).dropna().distinct()
@@ -19,85 +15,95 @@ def record_sets(df: DataFrame, record: str, item: str, min_size: int = 1) -> Dat
     return held.join(held.groupBy("item").agg(F.count("*").alias("df")), "item")
 
 
-def _pivot_distances(sets: DataFrame, n_pivots: int, pivot_size: int) -> DataFrame:
-    """``(record, pivot, d)`` for each record and each pivot that shares an item with it; all other distances are 1.
+def _size_class(threshold: float) -> Column:
+    """Sets that can be similar are in the same class of sizes or in neighbouring ones."""
+    if threshold == 1:
+        return F.col("n").cast("int")
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9).cast("int")
 
-    The pivots are a fixed sample of at most ``n_pivots`` sets of at most ``pivot_size`` items, so what is broadcast
-    has at most ``n_pivots * pivot_size`` rows at any scale.
-    """
-    pivots = sets.where(F.col("n").between(2, pivot_size)).orderBy(F.xxhash64("record"), "record").limit(n_pivots).select(
-        F.col("record").alias("pivot"), F.col("n").alias("pivot_n"), F.explode("items").alias("item"))
-    return (
-        sets.select("record", "n", F.explode("items").alias("item"))
-        .join(F.broadcast(pivots), "item")
-        .groupBy("record", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"))
-        .select("record", "pivot", (1 - F.col("c") / (F.col("n") + F.col("pivot_n") - F.col("c"))).alias("d"))
-    )
 
+def _least_overlap(threshold: float, a: Column, b: Column) -> Column:
+    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
-def _cells(sets: DataFrame, threshold: float, n_pivots: int, pivot_size: int) -> DataFrame:
-    """``(record, cell, home)``: the cells a record takes part in, by the triangle inequality.
 
-    A record's home is its nearest pivot's cell if that is within ``radius``, else the far cell. For any partner y of
-    a record x at home in cell i, d(y, p_i) <= d(x, p_i) + (1 - threshold) <= R_i + (1 - threshold), R_i being the
-    largest distance of the cell's own records to its pivot; every record within that bound is a guest of the cell.
-    ``radius + (1 - threshold) < 1``, so guests share an item with the pivot and none is missed. Two partners of
-    which neither is near a pivot meet in the far cell.
-    """
-    radius = threshold * 0.75
-    near = _pivot_distances(sets, n_pivots, pivot_size)
-    near = written(near.where(F.col("d") <= radius + (1 - threshold) + 1e-9), "pivot-distances")
-    nearest = near.groupBy("record").agg(F.min(F.struct("d", "pivot")).alias("best")).where(F.col("best.d") <= radius)
-    home = nearest.select("record", F.col("best.pivot").alias("pivot"), F.col("best.d").alias("d"))
-    reach = home.groupBy("pivot").agg((F.max("d") + (1 - threshold) + 1e-9).alias("reach"))  # one row a pivot
-    guests = near.join(F.broadcast(reach), "pivot").where(F.col("d") <= F.col("reach")).select("record", F.xxhash64("pivot").alias("cell"))
-    far = sets.select("record").join(home.select("record"), "record", "left_anti").select("record", F.lit(FAR).cast("long").alias("cell"))
-    return guests.unionByName(far)
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, shared)`` of pairs ``(a, b)``, exactly."""
+    left = sets.select(F.col("record").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    right = sets.select(F.col("record").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    both = F.size(F.array_intersect("ia", "ib"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("shared"))
 
 
-def _least_overlap(threshold: float, a: Column, b: Column) -> Column:
-    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+def _similarity() -> Column:
+    return F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def _size_class(threshold: float) -> Column:
-    """Sets that can be similar are in the same class of sizes or in neighbouring ones."""
-    if threshold == 1:
-        return F.col("n").cast("int")
-    return F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9).cast("int")
+def _prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """The rarest ``n - ceil(threshold * n) + 1`` items of each set: of two similar sets, they have one in common."""
+    rare = F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    return sets.select("record", "n", _size_class(threshold).alias("class"), F.posexplode(rare).alias("pos", "e")).where(F.col("e.df") > 1).select("record", "n", "class", "pos", F.col("e.item").alias("item"))
 
 
-def _join_in_cells(sets: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Exact pairs of sets that share a cell.
+def _within(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, once: bool) -> DataFrame:
+    """``(a, b, na, nb, shared)``: pairs of a left and a right set of a Jaccard similarity of ``threshold`` or more.
 
-    Within a cell, sets meet on one of their rarest items: two sets that reach the threshold share one of the first
-    ``n - ceil(threshold * n) + 1`` items in order of frequency. Only sets of compatible size meet (size classes in the
-    join key), and only where the items left can still reach the overlap. Items of one set only are left out.
+    Sets meet on one of their rarest items, under compatible size classes, and only where the items left can still reach
+    the overlap; what meets is measured exactly. ``once``: both sides are the same sets, and each pair is wanted once.
     """
-    prefix = (
-        sets.join(cells, "record")
-        .select("record", "cell", "n", _size_class(threshold).alias("class"), F.posexplode(F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)).alias("pos", "e"))
-        .where(F.col("e.df") > 1).select("record", "cell", "n", "class", "pos", F.col("e.item").alias("item"))
-    )
-    a = prefix.select("cell", "item", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("record").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix.select("cell", "item", "class", F.col("record").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    candidates = (
-        a.join(b, ["cell", "item", "class"])
-        .where(smaller & (F.col("na") >= F.ceil(threshold * F.col("nb") - 1e-9)))
-        .where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(threshold, F.col("na"), F.col("nb")))
-        .select("a", "b").distinct()
-    )
-    left = sets.select(F.col("record").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("record").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return candidates.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("shared"))
+    a = _prefix(left, threshold).select("item", F.explode(F.array("class", F.col("class") + 1, *([] if once else [F.col("class") - 1]))).alias("class"), F.col("record").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = _prefix(right, threshold).select("item", "class", F.col("record").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    apart = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) if once else F.col("a") != F.col("b")
+    met = a.join(b, ["item", "class"]).where(apart & (F.least("na", "nb") >= F.ceil(threshold * F.greatest("na", "nb") - 1e-9)))
+    met = met.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(threshold, F.col("na"), F.col("nb")))
+    return _measured(met.select("a", "b").distinct(), sets).where(_similarity() >= threshold - 1e-12)
+
+
+def pivot_cells(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
+    """``(record, cell, d)``: the home of each record that has others near to it, its nearest pivot within ``radius``.
+
+    Of records within ``radius`` of each other, one whose number (a hash of the key) is least among all that are near to it is
+    a pivot, and the others are at home with the nearest pivot they are near to. A record near to no pivot is a pivot of its
+    own, alone in its cell, and has no row here.
+    """
+    near = _within(sets, sets, sets, 1 - radius, once=True).select("a", "b", (1 - _similarity()).alias("d"))
+    near = written(near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")), "near")
+    number = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("k"))
+    least = near.groupBy("a").agg(F.min(number("b")).alias("other")).where(number("a") < F.col("other"))
+    pivots = written(least.select(F.col("a").alias("cell")), "pivots")
+    homes = near.join(pivots, near["b"] == pivots["cell"]).groupBy("a").agg(F.min(F.struct("d", "cell")).alias("best")).select(F.col("a").alias("record"), "best.cell", "best.d")
+    return homes.unionByName(pivots.select(F.col("cell").alias("record"), "cell", F.lit(0.0).alias("d")))
+
+
+def _join_cells(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
+    """Exact similar pairs, cell by cell.
+
+    If x is at home in the cell of pivot p with the largest distance R of a home to it, and y is within ``1 - threshold`` of
+    x, then ``d(y, p) <= d(x, p) + d(x, y) <= R + 1 - threshold``. So all y within that bound are guests of the cell, and
+    each pair has met in the home cell of either. Within a cell, homes meet homes and guests unless the triangle inequality
+    keeps them apart, ``|d(x, p) - d(y, p)| > 1 - threshold``, and are measured. Homes are so near to their pivot, twice
+    the radius being at most ``1 - threshold``, that all of them are similar: a crowded cell makes no pairs in vain.
+    A cell of one record is the pivot itself and its guests.
+    """
+    reach = 1 - threshold
+    homes = written(pivot_cells(sets, threshold, radius), "homes")
+    alone = sets.join(homes.select("record"), "record", "left_anti")
+    single = _within(alone, alone, sets, threshold, once=True)
+    cells = homes.groupBy("cell").agg(F.max("d").alias("R"))
+    pivots = sets.join(cells.select(F.col("cell").alias("record")), "record", "left_semi")
+    guests = _within(pivots, sets, sets, max(threshold - radius, 1e-6), once=False).select(F.col("a").alias("cell"), F.col("b").alias("record"), (1 - _similarity()).alias("d"))
+    guests = guests.join(cells, "cell").where(F.col("d") <= F.col("R") + reach + 1e-9).select("record", "cell", "d")
+    inside = homes.unionByName(guests.join(homes.select("record", "cell"), ["record", "cell"], "left_anti").select("record", "cell", "d"))
+    x, y = (t.select("cell", F.col("record").alias(k), F.col("d").alias(f"d{k}")) for t, k in ((homes, "x"), (inside, "y")))
+    met = x.join(y, "cell").where((F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= reach + 1e-9))
+    several = _measured(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+    return single.unionByName(several)
 
 
 def _join_large(big: DataFrame, threshold: float, above: int) -> DataFrame:
     """Exact pairs of which one set has more than ``above`` items, item by item, without holding a set in one row.
 
     ``big`` has the ``(record, item, n, df)`` of all sets above ``threshold * above``. Two similar sets share one of the rarest
-    items of each, as in :func:`_join_in_cells`; here those are all items up to a quantile of the set's item
+    items of each, as in :func:`_prefix`; here those are all items up to a quantile of the set's item
     frequencies that is surely far enough. Candidates are then counted over all items, with map-side combine.
     """
     enough = min(1.0, 1 - threshold + max(0.01, 3 / (threshold * above)))
@@ -111,8 +117,8 @@ def _join_large(big: DataFrame, threshold: float, above: int) -> DataFrame:
     return held.join(big.select(F.col("record").alias("a"), "item"), ["a", "item"]).groupBy("a", "b", "na", "nb").agg(F.count("*").cast("int").alias("shared"))
 
 
-def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5, min_size: int = 1, n_pivots: int = 64,
-                 pivot_size: int = 4096, large: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5, min_size: int = 1, radius: float | None = None,
+                 large: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Pairs of records whose item sets have a Jaccard similarity of ``threshold`` or more.
 
     Returns ``(pairs, members)``. ``members(record, rep)`` gives each record with at least ``min_size`` items the
@@ -120,10 +126,14 @@ def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5,
     representatives once, the smaller record first. :func:`expand_pairs` gives the pairs of all records.
 
     NULL records and items are ignored, a repeated item counts once, other columns are not read, an empty table gives
-    no rows. Sets of more than ``large`` items go through :func:`_join_large`; the result does not depend on it.
+    no rows. ``radius`` is that of the cells (see :func:`_join_cells`), at most half of ``1 - threshold``. Sets of more than
+    ``large`` items go through :func:`_join_large`. The result depends on neither.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    radius = 0.4 * min(1 - threshold, threshold) if radius is None else radius
+    if not 0 <= radius <= (1 - threshold) / 2 + 1e-12:
+        raise ValueError("radius must be in [0, (1 - threshold) / 2]")
     held = written(record_sets(df, record, item, min_size), "record-sets")
     small = (
         held.where(F.col("n") <= large).groupBy("record", "n")
@@ -136,9 +146,9 @@ def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5,
     members = written(members.unionByName(held.where(F.col("n") > large).select("record", F.col("record").alias("rep")).distinct()), "members")
     reps = members.where(F.col("record") == F.col("rep")).select("record")
     sets = written(small.join(reps, "record", "left_semi").select("record", "n", "ordered", F.col("ordered.item").alias("items")), "sets")
-    pairs = _join_in_cells(sets, _cells(sets, threshold, n_pivots, pivot_size), threshold)
+    pairs = _join_cells(sets, threshold, radius)
     from_large = _join_large(big.join(reps, "record", "left_semi"), threshold, large)
-    found = pairs.unionByName(from_large.select(pairs.columns)).withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    found = pairs.unionByName(from_large.select(pairs.columns)).withColumn("similarity", _similarity())
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return found.where(F.col("similarity") >= threshold - 1e-12).select(

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dredgeline.llm import cooccurrence, similar_sets
 from ..conftest import rows
@@ -46,9 +47,9 @@ def test_similar_sets(spark, threshold):
     held = clustered(int(threshold * 10)) + [("n", None), (None, "u1"), (None, None)]
     held += held[:50] + [(f"copy{k}", i) for k in range(3) for r, i in held if r == "07.0"]
     want = jaccard_pairs(held, threshold)
-    assert found(spark, held, threshold, n_pivots=16) == want and len(want) > 3
-    assert found(spark, held, threshold, n_pivots=2, pivot_size=8) == want
-    assert found(spark, held, threshold, n_pivots=1000) == want
+    assert found(spark, held, threshold) == want and len(want) > 3
+    for part in (0.0, 0.2, 0.5):
+        assert found(spark, held, threshold, radius=part * (1 - threshold)) == want
 
 
 def test_large_sets_take_the_other_way(spark):
@@ -71,17 +72,19 @@ def test_no_rows(spark):
     assert found(spark, [], 0.5) == [] and found(spark, [(None, "a"), ("b", None)], 0.5) == []
     with pytest.raises(ValueError):
         found(spark, [("a", "b")], 0.0)
-
-
-def test_pivot_cells_prune(spark):
-    """Near pivots, far records are no guests: the triangle inequality leaves them out."""
-    held = [(f"a{k}", f"x{j}") for k in range(6) for j in range(20 + k)] + [(f"b{k}", f"y{j}") for k in range(6) for j in range(20 + k)]
-    sets = spark.createDataFrame(held, "record string, item string").groupBy("record").agg({"item": "collect_list", "record": "count"}).toDF("record", "items", "n")
-    cells = similar_sets._cells(sets.selectExpr("record", "items", "cast(n as int) n"), 0.5, 2, 100).collect()
-    by: dict = {}
-    for c in cells:
-        by.setdefault(c.cell, set()).add(c.record[0])
-    assert all(len(v) == 1 for c, v in by.items() if c != similar_sets.FAR)
+    with pytest.raises(ValueError):
+        found(spark, [("a", "b")], 0.5, radius=0.3)
+
+
+def test_pivot_cells(spark):
+    """Near records are at home with one pivot, the nearest; records with none near have no row."""
+    held = [(f"{g}{k}", f"{g}{j}") for g in "ab" for k in range(6) for j in range(20 + k)] + [("solo", "a1"), ("solo", "b2")]
+    base = similar_sets.record_sets(spark.createDataFrame(held, "r string, i string"), "r", "i")
+    sets = base.groupBy("record", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ordered")).withColumn("items", F.col("ordered.item"))
+    homes = similar_sets.pivot_cells(sets, 0.5, 0.24).collect()
+    assert sorted(r.record for r in homes) == sorted(f"{g}{k}" for g in "ab" for k in range(6))
+    assert {r.cell[0] + r.record[0] for r in homes} == {"aa", "bb"} and all(r.d <= 0.24 for r in homes)
+    assert sum(r.d == 0 for r in homes) == len({r.cell for r in homes}) < 12
 
 
 # --- co-occurrence ---
