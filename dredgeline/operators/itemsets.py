@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .pairs import shared_counts
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -22,26 +23,33 @@ def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
 def frequent_itemsets(df: DataFrame, basket: str, item: str, support: int, max_size: int | None = None) -> DataFrame:
     """``(items, size, freq)``: every set of items that at least ``support`` baskets hold, exactly.
 
-    Rows of infrequent items go first. The occurrences of a frequent set and its baskets join with themselves on the basket
-    and all but the last item, which gives each larger set once; a set is kept by its own count. Basket and prefix are
-    the join key, so a large basket is spread over tasks. Ends at the first empty level or ``max_size``.
+    Rows of infrequent items go first. Pairs are counted by :func:`shared_counts`, which makes none in vain from the largest
+    baskets. From then on the occurrences of the frequent sets join with themselves on the basket and all but the
+    last item, which gives each larger set once; a set is kept by its own count. Ends at the first empty level or
+    ``max_size``.
     """
-    rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct()
+    rows = df.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item")).dropna().distinct()
     level = rows.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= support)
     found = level.select(F.array("item").alias("items"), F.lit(1).alias("size"), "freq")
-    held = written(rows.join(level.select("item"), "item", "left_semi").select("basket", F.array().cast("array<string>").alias("prefix"), F.col("item").cast("string").alias("last")), "occurrences")
-    size = 1
-    while max_size is None or size < max_size:
+    if max_size == 1:
+        return found
+    able = written(rows.join(level.select("item"), "item", "left_semi"), "able")
+    pairs = shared_counts(able, "item", "basket", support).select(F.array("a").alias("prefix"), F.col("b").alias("last"), F.col("shared").alias("freq"))
+    counts, size, held = written(pairs, "level"), 2, None
+    while not counts.isEmpty():
+        found = found.unionByName(counts.select(F.concat("prefix", F.array("last")).alias("items"), F.lit(size).alias("size"), "freq"))
+        if size == max_size:
+            break
+        if held is None:
+            first = counts.select(F.col("prefix")[0].alias("item"), "prefix", "last").join(able, "item").drop("item")
+            held = first.join(able.withColumnRenamed("item", "last"), ["last", "basket"]).select("basket", "prefix", "last")
+        else:
+            held = longer.join(counts.select("prefix", "last"), ["prefix", "last"], "left_semi")
+        held = written(held, "occurrences")
         size += 1
         longer = held.select("basket", "prefix", F.col("last").alias("x")).join(held, ["basket", "prefix"]).where(F.col("x") < F.col("last")).select(
             "basket", F.concat("prefix", F.array("x")).alias("prefix"), "last")
         counts = written(longer.groupBy("prefix", "last").agg(F.count("*").alias("freq")).where(F.col("freq") >= support), "level")
-        if counts.isEmpty():
-            break
-        found = found.unionByName(counts.select(F.concat("prefix", F.array("last")).alias("items"), F.lit(size).alias("size"), "freq"))
-        if max_size is not None and size == max_size:
-            break
-        held = written(longer.join(counts.select("prefix", "last"), ["prefix", "last"], "left_semi"), "occurrences")
     return found
 
 

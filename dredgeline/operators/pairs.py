@@ -22,7 +22,9 @@ def shared_counts(df: DataFrame, record: str, item: str, least: int = 1) -> Data
     sizes = rows.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     held = rows.join(sizes, "r").join(frequency.where(F.col("df") > 1), "i")
     rank = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("df"), F.desc("i")))
-    rare = held.withColumn("k", rank + F.lit(0)).where(F.col("k") >= least).select("r", "i", "n")
+    # the limit on the rank is applied before the shuffle, so no task gets all items of a large record
+    popular = held.select("r", "i", "df").withColumn("k", rank).where(F.col("k") < least).select("r", "i")
+    rare = held.join(popular, ["r", "i"], "left_anti").select("r", "i", "n")
     a, b = (rare.select(F.col("r").alias(k), "i", F.col("n").alias(f"n{k}")) for k in "ab")
     candidates = a.join(b, "i").where(F.col("a") < F.col("b")).select("a", "b", (F.col("na") <= F.col("nb")).alias("first")).distinct()
     fewer = F.when(F.col("first"), F.col("a")).otherwise(F.col("b"))

@@ -40,9 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder. Local ones are removed when the process ends."""
+    """A new path below the shared folder. Local ones are removed when the process ends, all by :func:`drop_scratch`."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, "/" + path[5:].lstrip("/"), True)
     elif os.path.isabs(path) and os.path.isdir(os.path.dirname(path)):
@@ -55,3 +59,11 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables made so far, on any file system. Results that still read from them become unusable."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)

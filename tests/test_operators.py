@@ -241,3 +241,16 @@ def test_hot_keys(spark):
     spread = skew.salted(df, "key", F.col("v"), hot)
     assert spread.count() == df.count() and spread.where("key = 'hot'").select("salt").distinct().count() == 7 and spread.where("key != 'hot' and salt != 0").count() == 0
     assert skew.hot_keys(df, "key").count() == 0
+
+
+def test_scratch(spark):
+    import os
+
+    from dredgeline import session
+
+    held = session.written(spark.range(5), "kept")
+    path = session._scratch[-1]
+    assert held.count() == 5 and os.path.isdir(path.replace("file://", ""))
+    session._scratch[:] = [path]
+    session.drop_scratch(spark)
+    assert not os.path.exists(path.replace("file://", ""))
