@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,3 +32,53 @@ def shared_counts(df: DataFrame, record: str, item: str, least: int = 1) -> Data
     probe = candidates.select("a", "b", fewer.alias("r"), more.alias("s")).join(held.select("r", "i"), "r")
     met = probe.join(held.select(F.col("r").alias("s"), "i"), ["s", "i"])
     return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def ordered_sets(rows: DataFrame) -> DataFrame:
+    """``(record, n, ordered, items)`` of distinct ``(record, item)``: the items in order of how many records hold them."""
+    held = rows.join(rows.groupBy("item").agg(F.count("*").alias("df")), "item")
+    sets = held.groupBy("record").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ordered"))
+    return sets.withColumn("items", F.col("ordered.item"))
+
+
+def size_class(threshold: float) -> Column:
+    """Sets that can be similar are in the same class of sizes or in neighbouring ones."""
+    if threshold == 1:
+        return F.col("n").cast("int")
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9).cast("int")
+
+
+def least_overlap(threshold: float, a: Column, b: Column) -> Column:
+    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, shared)`` of pairs ``(a, b)``, exactly."""
+    left = sets.select(F.col("record").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    right = sets.select(F.col("record").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    both = F.size(F.array_intersect("ia", "ib"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("shared"))
+
+
+def similarity() -> Column:
+    return F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+
+
+def prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """The rarest ``n - ceil(threshold * n) + 1`` items of each set: of two similar sets, they have one in common."""
+    rare = F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    return sets.select("record", "n", size_class(threshold).alias("class"), F.posexplode(rare).alias("pos", "e")).where(F.col("e.df") > 1).select("record", "n", "class", "pos", F.col("e.item").alias("item"))
+
+
+def within(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, once: bool) -> DataFrame:
+    """``(a, b, na, nb, shared)``: pairs of a left and a right set of a Jaccard similarity of ``threshold`` or more.
+
+    Sets meet on one of their rarest items, under compatible size classes, and only where the items left can still reach
+    the overlap; what meets is measured exactly. ``once``: both sides are the same sets, and each pair is wanted once.
+    """
+    a = prefix(left, threshold).select("item", F.explode(F.array("class", F.col("class") + 1, *([] if once else [F.col("class") - 1]))).alias("class"), F.col("record").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = prefix(right, threshold).select("item", "class", F.col("record").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    apart = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) if once else F.col("a") != F.col("b")
+    met = a.join(b, ["item", "class"]).where(apart & (F.least("na", "nb") >= F.ceil(threshold * F.greatest("na", "nb") - 1e-9)))
+    met = met.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least_overlap(threshold, F.col("na"), F.col("nb")))
+    return measured(met.select("a", "b").distinct(), sets).where(similarity() >= threshold - 1e-12)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import coefficients, universal
 from ..session import written
-from .pairs import shared_counts
+from .pairs import ordered_sets, shared_counts, similarity, within
 
 
 def dense_index(df: DataFrame, column: str) -> DataFrame:
@@ -56,13 +56,35 @@ def lsh_candidates(signatures: DataFrame, record: str, bands: int = 30) -> DataF
     return both.select(F.least("id_x", "id_y").alias("id1"), F.greatest("id_x", "id_y").alias("id2"))
 
 
+#: The threshold from which sets are joined by their rarest items, and the number of items that one row may hold.
+PREFIX, LARGE = 0.2, 20_000
+
+
+def _large_pairs(sized: DataFrame, threshold: float) -> DataFrame:
+    """``(id1, id2)`` of compatible sizes that share an item, at least one of them with more than ``LARGE`` items."""
+    big = sized.where(F.col("n") > threshold * LARGE)
+    x, y = (big.select("i", F.col("r").alias(f"id{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    fits = (F.col("id1") < F.col("id2")) & (F.greatest("n1", "n2") > LARGE) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))
+    return x.join(y, "i").where(fits).select("id1", "id2").distinct()
+
+
 def jaccard_join(df: DataFrame, record: str, item: str, threshold: float = 0.055, candidates: DataFrame | None = None) -> DataFrame:
     """``(id1, id2, sim)``, ``id1 < id2``, of records whose item sets have a Jaccard similarity of ``threshold`` or more.
 
-    Exact over all pairs that share an item, or over ``candidates(id1, id2)`` only.
+    Exact over all pairs that share an item, or over ``candidates(id1, id2)`` only. From ``PREFIX`` on, sets meet on
+    their rarest items, so popular ones make no pairs; below, nearly all items would be rare enough, and what shares one
+    item is often a result, so pairs are counted item by item. So are, at any threshold, sets above ``LARGE`` items,
+    which are not held in one row.
     """
     rows = df.select(F.col(record).alias("r"), F.col(item).alias("i")).dropna().distinct()
     sizes = rows.groupBy("r").agg(F.count("*").alias("n"))
+    if candidates is None and threshold >= PREFIX:
+        sized = rows.join(sizes, "r")
+        sets = written(ordered_sets(sized.where(F.col("n") <= LARGE).select(F.col("r").alias("record"), F.col("i").alias("item"))), "sets")
+        small = within(sets, sets, sets, threshold, once=True)
+        found = small.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), similarity().alias("sim"))
+        large = jaccard_join(sized.where(F.col("n") > threshold * LARGE), "r", "i", threshold, _large_pairs(sized, threshold))
+        return found.unionByName(large)
     if candidates is None:
         shared = shared_counts(rows, "r", "i").select(F.col("a").alias("id1"), F.col("b").alias("id2"), "shared")
     else:

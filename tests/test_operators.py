@@ -119,6 +119,11 @@ def test_similarity(spark):
     j = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
     want = sorted((a, b, j(a, b)) for a in sets for b in sets if a < b and j(a, b) >= 0.2)
     assert rows(similarity.jaccard_join(df, "id", "item", 0.2)) == want
+    for large in (2, 4, 10_000):
+        similarity.LARGE = large
+        assert rows(similarity.jaccard_join(df, "id", "item", 0.2)) == want and rows(similarity.jaccard_join(df, "id", "item", 0.5)) == [w for w in want if w[2] >= 0.5]
+    similarity.LARGE = 20_000
+    assert [w for w in rows(similarity.jaccard_join(df, "id", "item", 0.1)) if w[2] >= 0.2] == want
     index = similarity.dense_index(df, "item")
     assert rows(index) == [(str(k), k) for k in range(10)]
     sigs = similarity.minhash(df.join(index, "item"), "id", "idx")
