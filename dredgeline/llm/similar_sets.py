@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pairs import measured, similarity, size_class, within
 from ..session import written
 
 def record_sets(df: DataFrame, record: str, item: str, min_size: int = 1) -> DataFrame:
@@ -15,49 +16,6 @@ def record_sets(df: DataFrame, record: str, item: str, min_size: int = 1) -> Dat
     return held.join(held.groupBy("item").agg(F.count("*").alias("df")), "item")
 
 
-def _size_class(threshold: float) -> Column:
-    """Sets that can be similar are in the same class of sizes or in neighbouring ones."""
-    if threshold == 1:
-        return F.col("n").cast("int")
-    return F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9).cast("int")
-
-
-def _least_overlap(threshold: float, a: Column, b: Column) -> Column:
-    return F.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, na, nb, shared)`` of pairs ``(a, b)``, exactly."""
-    left = sets.select(F.col("record").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("record").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("shared"))
-
-
-def _similarity() -> Column:
-    return F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-
-
-def _prefix(sets: DataFrame, threshold: float) -> DataFrame:
-    """The rarest ``n - ceil(threshold * n) + 1`` items of each set: of two similar sets, they have one in common."""
-    rare = F.slice("ordered", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
-    return sets.select("record", "n", _size_class(threshold).alias("class"), F.posexplode(rare).alias("pos", "e")).where(F.col("e.df") > 1).select("record", "n", "class", "pos", F.col("e.item").alias("item"))
-
-
-def _within(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, once: bool) -> DataFrame:
-    """``(a, b, na, nb, shared)``: pairs of a left and a right set of a Jaccard similarity of ``threshold`` or more.
-
-    Sets meet on one of their rarest items, under compatible size classes, and only where the items left can still reach
-    the overlap; what meets is measured exactly. ``once``: both sides are the same sets, and each pair is wanted once.
-    """
-    a = _prefix(left, threshold).select("item", F.explode(F.array("class", F.col("class") + 1, *([] if once else [F.col("class") - 1]))).alias("class"), F.col("record").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = _prefix(right, threshold).select("item", "class", F.col("record").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    apart = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) if once else F.col("a") != F.col("b")
-    met = a.join(b, ["item", "class"]).where(apart & (F.least("na", "nb") >= F.ceil(threshold * F.greatest("na", "nb") - 1e-9)))
-    met = met.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _least_overlap(threshold, F.col("na"), F.col("nb")))
-    return _measured(met.select("a", "b").distinct(), sets).where(_similarity() >= threshold - 1e-12)
-
-
 def pivot_cells(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
     """``(record, cell, d)``: the home of each record that has others near to it, its nearest pivot within ``radius``.
 
@@ -65,7 +23,7 @@ def pivot_cells(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
     a pivot, and the others are at home with the nearest pivot they are near to. A record near to no pivot is a pivot of its
     own, alone in its cell, and has no row here.
     """
-    near = _within(sets, sets, sets, 1 - radius, once=True).select("a", "b", (1 - _similarity()).alias("d"))
+    near = within(sets, sets, sets, 1 - radius, once=True).select("a", "b", (1 - similarity()).alias("d"))
     near = written(near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")), "near")
     number = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("k"))
     least = near.groupBy("a").agg(F.min(number("b")).alias("other")).where(number("a") < F.col("other"))
@@ -87,15 +45,15 @@ def _join_cells(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
     reach = 1 - threshold
     homes = written(pivot_cells(sets, threshold, radius), "homes")
     alone = sets.join(homes.select("record"), "record", "left_anti")
-    single = _within(alone, alone, sets, threshold, once=True)
+    single = within(alone, alone, sets, threshold, once=True)
     cells = homes.groupBy("cell").agg(F.max("d").alias("R"))
     pivots = sets.join(cells.select(F.col("cell").alias("record")), "record", "left_semi")
-    guests = _within(pivots, sets, sets, max(threshold - radius, 1e-6), once=False).select(F.col("a").alias("cell"), F.col("b").alias("record"), (1 - _similarity()).alias("d"))
+    guests = within(pivots, sets, sets, max(threshold - radius, 1e-6), once=False).select(F.col("a").alias("cell"), F.col("b").alias("record"), (1 - similarity()).alias("d"))
     guests = guests.join(cells, "cell").where(F.col("d") <= F.col("R") + reach + 1e-9).select("record", "cell", "d")
     inside = homes.unionByName(guests.join(homes.select("record", "cell"), ["record", "cell"], "left_anti").select("record", "cell", "d"))
     x, y = (t.select("cell", F.col("record").alias(k), F.col("d").alias(f"d{k}")) for t, k in ((homes, "x"), (inside, "y")))
     met = x.join(y, "cell").where((F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= reach + 1e-9))
-    several = _measured(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
+    several = measured(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
     return single.unionByName(several)
 
 
@@ -103,12 +61,12 @@ def _join_large(big: DataFrame, threshold: float, above: int) -> DataFrame:
     """Exact pairs of which one set has more than ``above`` items, item by item, without holding a set in one row.
 
     ``big`` has the ``(record, item, n, df)`` of all sets above ``threshold * above``. Two similar sets share one of the rarest
-    items of each, as in :func:`_prefix`; here those are all items up to a quantile of the set's item
+    items of each, as in :func:`~dredgeline.operators.pairs.prefix`; here those are all items up to a quantile of the set's item
     frequencies that is surely far enough. Candidates are then counted over all items, with map-side combine.
     """
     enough = min(1.0, 1 - threshold + max(0.01, 3 / (threshold * above)))
     cut = big.groupBy("record").agg(F.percentile_approx("df", enough, 10_000).alias("cut"))
-    rare = big.join(cut, "record").where((F.col("df") <= F.col("cut")) & (F.col("df") > 1)).withColumn("class", _size_class(threshold))
+    rare = big.join(cut, "record").where((F.col("df") <= F.col("cut")) & (F.col("df") > 1)).withColumn("class", size_class(threshold))
     x = rare.where(F.col("n") > above).select("item", "class", F.col("record").alias("a"), F.col("n").alias("na"))
     y = rare.select("item", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("record").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("na") >= F.col("nb")) & (F.col("nb") >= F.ceil(threshold * F.col("na") - 1e-9)) & ((F.col("na") > F.col("nb")) | (F.col("a") < F.col("b")))
@@ -148,7 +106,7 @@ def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5,
     sets = written(small.join(reps, "record", "left_semi").select("record", "n", "ordered", F.col("ordered.item").alias("items")), "sets")
     pairs = _join_cells(sets, threshold, radius)
     from_large = _join_large(big.join(reps, "record", "left_semi"), threshold, large)
-    found = pairs.unionByName(from_large.select(pairs.columns)).withColumn("similarity", _similarity())
+    found = pairs.unionByName(from_large.select(pairs.columns)).withColumn("similarity", similarity())
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return found.where(F.col("similarity") >= threshold - 1e-12).select(
