@@ -113,6 +113,23 @@ def frequent_user_sets(spark, folder):
     return _listed(itemsets.frequent_itemsets(user_business(spark, folder), "business_id", "user_id", SHARED_BUSINESSES, ITEMSET_SIZE))
 
 
+def all_frequent_itemsets(spark, folder):
+    """Sets of every size; the SQL of ``frequent_itemsets`` ends at three."""
+    edges = user_business(spark, folder)
+    return _listed(itemsets.frequent_itemsets(edges, "user_id", "business_id", _support(edges)))
+
+
+def all_frequent_itemsets_two_pass(spark, folder):
+    edges = user_business(spark, folder)
+    support = _support(edges)
+    candidates = itemsets.son_candidates(edges, "user_id", "business_id", support)
+    return _listed(itemsets.counted_candidates(candidates, edges, "user_id", "business_id", support))
+
+
+def all_frequent_user_sets(spark, folder):
+    return _listed(itemsets.frequent_itemsets(user_business(spark, folder), "business_id", "user_id", SHARED_BUSINESSES))
+
+
 def baskets(spark, folder):
     return itemsets.baskets(user_business(spark, folder), "user_id", "business_id").select("basket", F.array_join("items", ",").alias("items"))
 
@@ -334,6 +351,7 @@ def predict_ratings(spark, folder):
 QUERIES = {f.__name__: f for f in (
     review_count, review_count_year, distinct_business, top_users, busy_business, top_words, top_categories, partition_stats,
     baskets, frequent_itemsets, frequent_itemsets_two_pass, frequent_user_sets,
+    all_frequent_itemsets, all_frequent_itemsets_two_pass, all_frequent_user_sets,
     dense_index, minhash_signatures, lsh_candidates, lsh_jaccard, jaccard_join,
     rare_words, tfidf, business_profile, user_profile, cosine_score,
     entity_averages, item_cf_model, user_cf_model, item_cf_predict, user_cf_predict,
