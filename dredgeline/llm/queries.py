@@ -83,7 +83,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The ten words of highest converged probability of each business."""
-    best = distinctive_terms(_business_docs(spark, folder), "business_id", "review_id", "text", per_record=10)
+    best = distinctive_terms(_business_docs(spark, folder), "business_id", "review_id", "text", per_record=10, limit=True)
     return best.select(F.col("record").alias("business_id"), F.col("term").alias("word"), "k", "d", F.round("p_record", 6).alias("p_record"))
 
 
