@@ -67,8 +67,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_surprise(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts, expectation, tail probability and false-discovery value of every pair with five common users."""
-    return surprising_pairs(_review_ids(spark, folder, "user_id", "business_id"), "user_id", "business_id", 5)
+    """Counts, expectation, tail probability and false-discovery value of every pair with a common user."""
+    return surprising_pairs(_review_ids(spark, folder, "user_id", "business_id"), "user_id", "business_id", 1)
 
 
 def _business_docs(spark: SparkSession, folder: str) -> DataFrame:
