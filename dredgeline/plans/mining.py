@@ -14,7 +14,7 @@ from ..streaming.sampling import reservoir_stream
 from ..streaming.windows import distinct_stream
 
 YEAR, TOP, BUSY = 2021, 20, 40
-ITEMSET_SHARE, ITEMSET_SIZE = 0.01, 3
+ITEMSET_SHARE, USER_SET_SHARE = 0.01, 0.003
 SHARED_BUSINESSES, SHARED_USERS = 4, 12
 WINDOW, SLIDE = "1 day", "6 hours"
 
@@ -88,8 +88,8 @@ def partition_stats(spark, folder):
 
 # --- itemsets ---
 
-def _support(edges: DataFrame) -> int:
-    return max(3, int(edges.select("user_id").distinct().count() * ITEMSET_SHARE))
+def _support(edges: DataFrame, basket: str, share: float, least: int) -> int:
+    return max(least, int(edges.select(basket).distinct().count() * share))
 
 
 def _listed(sets: DataFrame) -> DataFrame:
@@ -97,37 +97,21 @@ def _listed(sets: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(spark, folder):
-    edges = user_business(spark, folder)
-    return _listed(itemsets.frequent_itemsets(edges, "user_id", "business_id", _support(edges), ITEMSET_SIZE))
+    edges = written(user_business(spark, folder), "user-business")
+    return _listed(itemsets.frequent_itemsets(edges, "user_id", "business_id", _support(edges, "user_id", ITEMSET_SHARE, 3)))
 
 
 def frequent_itemsets_two_pass(spark, folder):
-    edges = user_business(spark, folder)
-    support = _support(edges)
-    candidates = itemsets.son_candidates(edges, "user_id", "business_id", support, max_size=ITEMSET_SIZE)
+    edges = written(user_business(spark, folder), "user-business")
+    support = _support(edges, "user_id", ITEMSET_SHARE, 3)
+    candidates = itemsets.son_candidates(edges, "user_id", "business_id", support)
     return _listed(itemsets.counted_candidates(candidates, edges, "user_id", "business_id", support))
 
 
 def frequent_user_sets(spark, folder):
     """The other orientation: baskets are businesses, items their users."""
-    return _listed(itemsets.frequent_itemsets(user_business(spark, folder), "business_id", "user_id", SHARED_BUSINESSES, ITEMSET_SIZE))
-
-
-def all_frequent_itemsets(spark, folder):
-    """Sets of every size; the SQL of ``frequent_itemsets`` ends at three."""
-    edges = user_business(spark, folder)
-    return _listed(itemsets.frequent_itemsets(edges, "user_id", "business_id", _support(edges)))
-
-
-def all_frequent_itemsets_two_pass(spark, folder):
-    edges = user_business(spark, folder)
-    support = _support(edges)
-    candidates = itemsets.son_candidates(edges, "user_id", "business_id", support)
-    return _listed(itemsets.counted_candidates(candidates, edges, "user_id", "business_id", support))
-
-
-def all_frequent_user_sets(spark, folder):
-    return _listed(itemsets.frequent_itemsets(user_business(spark, folder), "business_id", "user_id", SHARED_BUSINESSES))
+    edges = written(user_business(spark, folder), "user-business")
+    return _listed(itemsets.frequent_itemsets(edges, "business_id", "user_id", _support(edges, "business_id", USER_SET_SHARE, SHARED_BUSINESSES)))
 
 
 def baskets(spark, folder):
@@ -351,7 +335,6 @@ def predict_ratings(spark, folder):
 QUERIES = {f.__name__: f for f in (
     review_count, review_count_year, distinct_business, top_users, busy_business, top_words, top_categories, partition_stats,
     baskets, frequent_itemsets, frequent_itemsets_two_pass, frequent_user_sets,
-    all_frequent_itemsets, all_frequent_itemsets_two_pass, all_frequent_user_sets,
     dense_index, minhash_signatures, lsh_candidates, lsh_jaccard, jaccard_join,
     rare_words, tfidf, business_profile, user_profile, cosine_score,
     entity_averages, item_cf_model, user_cf_model, item_cf_predict, user_cf_predict,
@@ -435,14 +418,14 @@ _FM = f"""with {_WINDOWS}, x as (select start, v, {_fold('v', 8191)} as x from w
     select {_STAMP} as window_start, exact, floor(list_sort(list_value({_MEANS}))[8])::bigint as estimate from z"""
 
 
-def _itemset_sql(support: str, basket: str, item: str) -> str:
-    return f"""with {_UB}, t as (select {basket} as k, {item} as i from ub), lim as (select {support} as s), one as (select i, count(*) as n from t group by i having count(*) >= (select s from lim)), f as (select t.* from t where i in (select i from one)),
-        two as (select x.i as a, y.i as b, count(*) as n from f x join f y on x.k = y.k and x.i < y.i group by all having count(*) >= (select s from lim)),
-        three as (select p.a, p.b, z.i as c, count(*) as n from two p join f x on x.i = p.a join f y on y.i = p.b and y.k = x.k join f z on z.k = x.k and z.i > p.b group by all having count(*) >= (select s from lim))
-        select i as items, 1 as size, n as freq from one union all select a || ',' || b, 2, n from two union all select a || ',' || b || ',' || c, 3, n from three"""
+def _itemset_sql(share: float, least: int, basket: str, item: str) -> str:
+    return f"""with recursive {_UB}, t as (select {basket} as k, {item} as i from ub), lim as (select greatest({least}, floor(count(distinct k) * {share})) as s from t), one as (select i from t group by i having count(*) >= (select s from lim)), f as (select t.* from t where i in (select i from one)),
+        lv(items, size, last, k) as (select i, 1, i, k from f union all select items, size, last, k from (
+            select lv.items || ',' || f.i as items, lv.size + 1 as size, f.i as last, f.k as k, count(*) over (partition by lv.items, f.i) as n from lv join f on lv.k = f.k and f.i > lv.last) where n >= (select s from lim))
+        select items, size, count(*) as freq from lv group by all"""
 
 
-_BY_USER = _itemset_sql(f"greatest(3, floor((select count(distinct u) from ub) * {ITEMSET_SHARE}))", "u", "b")
+_BY_USER = _itemset_sql(ITEMSET_SHARE, 3, "u", "b")
 
 SQL = {
     "review_count": f"with {_R} select count(*) as n from r",
@@ -456,7 +439,7 @@ SQL = {
     "baskets": f"with {_UB} select u as basket, string_agg(b, ',' order by b) as items from ub group by u",
     "frequent_itemsets": _BY_USER,
     "frequent_itemsets_two_pass": _BY_USER,
-    "frequent_user_sets": _itemset_sql(str(SHARED_BUSINESSES), "b", "u"),
+    "frequent_user_sets": _itemset_sql(USER_SET_SHARE, SHARED_BUSINESSES, "b", "u"),
     "dense_index": f"with {_UB} select u as user_id, (row_number() over (order by u) - 1) as idx from (select distinct u from ub)",
     "minhash_signatures": f"with {_SIG} select rec as business_id, array_to_string(sig, ',') as sig from sig",
     "lsh_candidates": f"with {_LSH} select id1, id2 from cand",
