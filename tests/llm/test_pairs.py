@@ -76,17 +76,37 @@ def test_no_rows(spark):
         found(spark, [("a", "b")], 0.5, radius=0.3)
 
 
+def _sets(spark, held):
+    base = similar_sets.record_sets(spark.createDataFrame(held, "r string, i string"), "r", "i")
+    return base.groupBy("record", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ordered")).withColumn("items", F.col("ordered.item"))
+
+
 def test_pivot_cells(spark):
-    """Near records are at home with one pivot, the nearest; records with none near have no row."""
+    """Every record is at home with one pivot, the nearest of those near to it; a record with none near is its own."""
     held = [(f"{g}{k}", f"{g}{j}") for g in "ab" for k in range(6) for j in range(20 + k)] + [("solo", "a1"), ("solo", "b2")]
-    base = similar_sets.record_sets(spark.createDataFrame(held, "r string, i string"), "r", "i")
-    sets = base.groupBy("record", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ordered")).withColumn("items", F.col("ordered.item"))
-    homes = similar_sets.pivot_cells(sets, 0.5, 0.24).collect()
-    assert sorted(r.record for r in homes) == sorted(f"{g}{k}" for g in "ab" for k in range(6))
-    assert {r.cell[0] + r.record[0] for r in homes} == {"aa", "bb"} and all(r.d <= 0.24 for r in homes)
+    homes = similar_sets.pivot_cells(_sets(spark, held), 0.24).collect()
+    assert sorted(r.record for r in homes) == sorted([f"{g}{k}" for g in "ab" for k in range(6)] + ["solo"])
+    assert {r.cell[0] + r.record[0] for r in homes} == {"aa", "bb", "ss"} and all(r.d <= 0.24 for r in homes)
     assert sum(r.d == 0 for r in homes) == len({r.cell for r in homes}) < 12
 
 
+@pytest.mark.parametrize("threshold,radius", [(0.5, 0.2), (0.5, 0.0), (0.6, 0.2)])
+def test_every_pair_meets_in_a_cell(spark, threshold, radius):
+    """Each similar pair comes once, from a cell that is home to one of the two and holds the other as home or guest."""
+    held = sorted(set(clustered(11, n=40)))
+    sets = _sets(spark, held)
+    found_ = similar_sets.cell_pairs(sets, threshold, radius).collect()
+    home = {r.record: (r.cell, r.d) for r in similar_sets.pivot_cells(sets, radius).collect()}
+    guests = {(r.cell, r.record): r for r in similar_sets.cell_guests(sets, spark.createDataFrame([(k, *v) for k, v in home.items()], "record string, cell string, d double"), threshold, radius).collect()}
+    real = [(min(r.a, r.b), max(r.a, r.b)) for r in found_ if r.shared >= threshold * (r.na + r.nb - r.shared) - 1e-12]
+    assert sorted(real) == jaccard_pairs(held, threshold) and len(real) > 3
+    for r in found_:
+        inside = {k for k in (r.a, r.b) if home[k][0] == r.cell}
+        assert inside and all(k in inside or (r.cell, k) in guests for k in (r.a, r.b))
+    for (cell, record), g in guests.items():
+        assert home[record][0] != cell and g.d <= g.R + 1 - threshold + 1e-9
+
+
 # --- co-occurrence ---
 
 def counted(held, least):
