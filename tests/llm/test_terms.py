@@ -6,9 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dredgeline.llm import distinctive_terms, term_index, top_items
 from ..conftest import rows
@@ -86,20 +89,39 @@ def test_hot_group_is_spread_and_skipped(spark, tmp_path):
         top_items.write_clustered(df, "g", "s", "t", path, row_group_bytes=4096, shares=16, floor=100)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert rows(top_items.read_top(df, path, 3)) == sorted(((g, s, t, k) for g, s, t, k in best(items, 3)), key=repr)
+    assert rows(top_items.read_top(df, path, 3)[0]) == sorted(((g, s, t, k) for g, s, t, k in best(items, 3)), key=repr)
     of = df.sparkSession.read.parquet(path)
     assert of.where("grp = 'hot'").selectExpr("input_file_name()").distinct().count() > 1
-    seen = [0, 0]
-    for file in of.inputFiles():
-        top_items._read_best(file.replace("file://", ""), 3, seen)
-    assert seen[1] > seen[0]  # most row groups of the hot group are never read
-
-
-def test_skips_only_what_is_below():
-    keep = top_items._Best(2)
-    for s, t in [(5, "b"), (5, "a"), (5, "c"), (1, "z")]:
-        keep.add("g", s, t)
-    assert keep.of == {"g": [(5, "a"), (5, "b")]} and keep.floor("g") == 5 and keep.floor("h") is None
+    cost = top_items.read_top(df, path, 3)[1].first()
+    assert cost.skipped > cost.read  # most row groups of the hot group are never read
+
+
+def test_most_of_a_group_of_a_million_is_skipped(spark):
+    """At the default sizes; groups smaller than a row group are read whole."""
+    many = spark.range(1_000_000).select(F.lit("hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("s"), F.format_string("t%07d", "id").alias("t"))
+    few = spark.range(3000).select(F.concat(F.lit("g"), (F.col("id") % 500).cast("string")).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("s"), F.format_string("t%07d", "id").alias("t"))
+    found, cost = top_items.top_items(many.unionByName(few), "g", "s", "t", 3, report=True)
+    cost = cost.first()
+    assert cost.skipped > 9 * cost.read and cost.bytes_skipped > 9 * cost.bytes_read
+    assert [(r.s, r.t) for r in found.where("g = 'hot'").orderBy("rank").collect()] == [(r.s, r.t) for r in many.orderBy(F.desc("s"), "t").limit(3).collect()]
+    assert found.where("g != 'hot'").count() == 1500
+
+
+def test_skips_only_what_is_strictly_below(tmp_path):
+    """Ties with the N-th score are read, and so is what begins a group."""
+    held = [("a", 9 - k // 2, f"t{k}") for k in range(12)] + [("b", 1, "t")] + [("c", 5, f"t{k}") for k in range(6)]
+    table = pa.table({"grp": [h[0] for h in held], "score": [h[1] for h in held], "tie": [h[2] for h in held]})
+    pq.write_table(table, tmp_path / "f.parquet", row_group_size=3)
+    for n in (1, 2, 3, 6, 100):
+        got, cost = top_items.read_best(str(tmp_path / "f.parquet"), n)
+        assert set(zip(*got.to_pydict().values())) >= {h for h in held if sum(x[0] == h[0] and (-x[1], x[2]) < (-h[1], h[2]) for x in held) < n}
+        assert cost["read"] + cost["skipped"] == 7 and (n > 1 or cost["skipped"] == 3) and (n < 100 or not cost["skipped"])
+
+
+def test_names_of_storage():
+    assert top_items.filesystem("file:///a/b c")[1] == "/a/b c" and top_items.filesystem("file:/a")[1] == "/a" and top_items.filesystem("/a:b")[1] == "/a:b"
+    fs, name = top_items.filesystem("s3a://bucket/a/b.parquet?region=eu-north-1")
+    assert fs.type_name == "s3" and name == "bucket/a/b.parquet"
 
 
 # --- distinctive terms ---
