@@ -21,40 +21,16 @@ COLUMNS = ("record", "term", "k", "d", "n", "docs", "p_background", "p_record",
 SCHEMA = "record string, term string, k long, d long, n long, docs long, p_background double, p_record double, score double"
 
 
-def parsimonious(counts: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float = 0.1, rounds: int = 50,
-                 tol: float = 1e-5, copies: np.ndarray | None = None) -> np.ndarray:
-    """P(term | record) of many records at once after ``rounds`` rounds, or when none changes by ``tol``; record r holds the rows from ``starts[r]`` on.
+def parsimonious(counts: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float = 0.1, copies: np.ndarray | None = None) -> np.ndarray:
+    """P(term | record) of many records at once, where expectation-maximisation ends; record r holds the rows from ``starts[r]`` on.
 
     Expectation: the part of a term's count that the record explains rather than the background,
-    ``k * w p / (w p + (1 - w) b)``. Maximisation: ``p`` in proportion to it. ``copies`` lets a row stand for several
-    terms of the same count and background.
-    """
-    if not len(counts):
-        return np.zeros(0)
-    m = np.ones(len(counts)) if copies is None else np.asarray(copies, float)
-    lengths = np.diff(np.append(starts, len(counts)))
-    k = np.asarray(counts, float)
-    p = k / np.repeat(np.add.reduceat(k * m, starts), lengths)
-    base = (1 - weight) * np.asarray(background, float)
-    for _ in range(rounds):
-        e = k * weight * p / (weight * p + base)
-        total = np.add.reduceat(e * m, starts)
-        new = e / np.repeat(np.where(total > 0, total, 1), lengths)
-        done = np.abs(new - p).max() < tol
-        p = new
-        if done:
-            break
-    return p
-
-
-def parsimonious_limit(counts: np.ndarray, background: np.ndarray, starts: np.ndarray, weight: float = 0.1,
-                       copies: np.ndarray | None = None) -> np.ndarray:
-    """P(term | record) of many records at once where the rounds of :func:`parsimonious` lead to.
-
-    The likelihood is concave, so the limit is
-    its maximum: ``p = max(0, k / t - (1 - w) b / w)`` with the ``t`` at which these add up to 1. A term at or below 0 for
-    some ``t`` stays out, which only raises ``t``, so each record ends exactly after finitely many steps, whatever other
-    records are beside it.
+    ``k * w p / (w p + (1 - w) b)``. Maximisation: ``p`` in proportion to it. Rounds of these approach their end ever more
+    slowly where a term's probability falls to 0, so the end is computed: the likelihood is concave, and its maximum is
+    ``p = max(0, k / t - (1 - w) b / w)`` with the ``t`` at which these add up to 1. Expectation at that ``t`` drops the terms
+    that the background explains, maximisation raises ``t`` for those left, until no term drops: finitely many rounds for
+    each record, without a cap, whatever other records are beside it. ``copies`` lets a row stand for several terms of the
+    same count and background.
     """
     if not len(counts) or weight <= 0:
         return np.zeros(len(counts))
@@ -88,7 +64,7 @@ def _counts(docs: DataFrame, *place: str) -> DataFrame:
     return terms.groupBy(*place, "term").agg(F.count("*").alias("k"))
 
 
-def _whole(weight: float, tokens: int, per_record: int | None, by: str, fit=parsimonious):
+def _whole(weight: float, tokens: int, per_record: int | None, by: str):
     """Scores a bucket of whole records: ``left`` their term counts, ``right`` the statistics of the bucket's terms."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -109,7 +85,7 @@ def _whole(weight: float, tokens: int, per_record: int | None, by: str, fit=pars
         rows = rows[np.argsort(record[rows], kind="stable")]
         r, kk, dd, background = record[rows], k[rows], d[rows], cf[rows] / tokens
         starts = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, int)
-        p = fit(kk, background, starts, weight)
+        p = parsimonious(kk, background, starts, weight)
         s = tf_idf(kk, dd, n)
         if per_record is not None and len(r):
             names = pc.rank(terms.take(pa.array(rows)), sort_keys="ascending", tiebreaker="dense").to_numpy()
@@ -131,27 +107,28 @@ _ARROW = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64
 
 
 def distinctive_terms(docs: DataFrame, record: str, doc: str, text: str, weight: float = 0.1, per_record: int | None = None,
-                      by: str = "p_record", shares: int = 1024, floor: int = 50_000, limit: bool = False) -> DataFrame:
+                      by: str = "p_record", shares: int = 1024, floor: int = 1 << 25) -> DataFrame:
     """Terms of each record with how characteristic they are of it.
 
     A record is all distinct documents (``doc`` ids; copies of a document count once) with the same ``record`` key; a
     term is a maximal run of letters or digits of the lower-cased text. Columns: ``k`` occurrences in the record, ``d``
     records with the term, ``n`` records with any term, ``docs`` the record's documents with a term, ``p_background``
     the term's share of all occurrences, ``p_record`` the probability under the record's parsimonious
-    language model (``weight`` is the record's part of the mixture), with ``limit`` fully converged, else after 50 rounds at most, ``score = k * log2(n / d)``, 6 digits.
+    language model (``weight`` is the record's part of the mixture) at its convergence, ``score = k * log2(n / d)``, 6 digits.
 
     ``per_record`` keeps the best terms of each record by ``p_record`` or ``score``, ties to the smaller term. NULL keys
     and texts without a term are ignored; an empty table gives no rows.
 
     Terms are counted where the records' texts have been shuffled to, for the statistics and again for the scores: texts are
     several times smaller than counts by record and term. Term statistics travel to the buckets that hold the term.
-    A record with very many documents is counted in parts, and its terms are scored one by one in parallel.
+    A record of more than ``floor`` characters, and of more than ``1 / shares`` of all, is counted in parts, and its terms
+    are scored one by one in parallel.
     """
     if by not in ("p_record", "score"):
         raise ValueError("by must be p_record or score")
-    spark, fit = docs.sparkSession, parsimonious_limit if limit else parsimonious
+    spark = docs.sparkSession
     rows = docs.select(F.col(record).alias("record"), F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("record").isNotNull() & F.col("doc").isNotNull())
-    hot = written(hot_keys(rows.select("record"), "record", shares, floor), "hot-records")
+    hot = written(hot_keys(rows, "record", shares, floor, F.length("text")), "hot-records")
     some_hot = not hot.isEmpty()
     rows = rows.where(has_word(F.col("text")))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -169,13 +146,13 @@ def distinctive_terms(docs: DataFrame, record: str, doc: str, text: str, weight:
     tokens = max(1, stats.where(F.col("term") != ANY).agg(F.sum("cf")).first()[0] or 0)
     sent = stats.select(F.explode("buckets").alias("bucket"), "term", "d", "cf")
 
-    scored = whole.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_whole(weight, tokens, per_record, by, fit), SCHEMA)
+    scored = whole.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_whole(weight, tokens, per_record, by), SCHEMA)
     if some_hot:
-        scored = scored.unionByName(_split_records(split, stats.select("term", "d", "cf"), weight, tokens, per_record, by, fit))
+        scored = scored.unionByName(_split_records(split, stats.select("term", "d", "cf"), weight, tokens, per_record, by))
     return scored.select(*COLUMNS)
 
 
-def _split_records(split: DataFrame, stats: DataFrame, weight: float, tokens: int, per_record: int | None, by: str, fit=parsimonious) -> DataFrame:
+def _split_records(split: DataFrame, stats: DataFrame, weight: float, tokens: int, per_record: int | None, by: str) -> DataFrame:
     """Scores records spread over tasks: terms of equal count and background share one row of the fit."""
     held = written(split.join(stats, "term"), "split-terms")
     some = held.where(F.col("term") == ANY).select("record", F.col("k").alias("docs"), F.col("d").alias("n"))
@@ -183,7 +160,7 @@ def _split_records(split: DataFrame, stats: DataFrame, weight: float, tokens: in
     kinds = held.groupBy("record", "k", "cf").agg(F.count("*").alias("copies"))
 
     def converge(t: pd.DataFrame) -> pd.DataFrame:
-        p = fit(t["k"].to_numpy(), t["cf"].to_numpy() / tokens, np.array([0]), weight, copies=t["copies"].to_numpy())
+        p = parsimonious(t["k"].to_numpy(), t["cf"].to_numpy() / tokens, np.array([0]), weight, copies=t["copies"].to_numpy())
         return t[["record", "k", "cf"]].assign(p_record=p)
 
     fitted = kinds.groupBy("record").applyInPandas(converge, "record string, k long, cf long, p_record double")

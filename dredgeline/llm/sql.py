@@ -30,4 +30,12 @@ SQL = {
         five as (select business_id as b from said group by 1 having count(distinct review_id) >= 5),
         scored as (select k.b, k.word, round(k.k * log2(n.n / d.d), 6) as s from k join d using (word) join five using (b), n)
         select b as business_id, word from scored qualify row_number() over (partition by b order by s desc, word) = 1""",
+    "p1_similar_business": f"""with {_REVIEWS}, {_PAIRS}, same as (select b, string_agg(u, chr(1) order by u) as s from held group by b having count(*) >= 3), rep as (select min(b) as b from same group by s)
+        select a as business_a, pair.b as business_b, cast(na as integer) as users_a, cast(nb as integer) as users_b, cast(c as integer) as shared, round(c / (na + nb - c), 6) as similarity
+        from pair join rep x on x.b = pair.a join rep y on y.b = pair.b where c >= 0.5 * (na + nb - c)""",
+    "p6_profile": f"""with {_REVIEWS}, {_WORDS}, k as (select business_id as b, word, count(*) as k from said where business_id is not null group by all),
+        w as (select word, count(*) as d, sum(k) as cf from k group by word), base as (select b, word, k, d, 9.0 * cf / (select sum(k) from k) as g from k join w using (word)),
+        upto as (select *, sum(k) over best / (1 + sum(g) over best) as t from base window best as (partition by b order by k / g desc)),
+        p as (select b, word, k, d, greatest(0, k / max(t) over (partition by b) - g) as p from upto)
+        select b as business_id, word, k, d, round(p, 6) as p_record from p qualify row_number() over (partition by b order by p desc, word) <= 10""",
 }

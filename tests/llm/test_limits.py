@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dredgeline.llm.distinctive_terms import distinctive_terms, parsimonious_limit
+from dredgeline.llm.distinctive_terms import distinctive_terms, parsimonious
 from .test_terms import DOCS, profile
 
 
@@ -29,7 +29,7 @@ def em(k, b, weight, rounds):
 @pytest.mark.parametrize("weight", [0.02, 0.1, 0.6])
 def test_parsimonious_is_the_limit(weight):
     counts, background, starts = records(int(weight * 100))
-    got = parsimonious_limit(counts, background, starts, weight)
+    got = parsimonious(counts, background, starts, weight)
     late = False
     for a, z in zip(starts, np.append(starts[1:], len(counts))):
         k, b, p = counts[a:z], background[a:z], got[a:z]
@@ -43,15 +43,15 @@ def test_parsimonious_is_the_limit(weight):
 
 def test_parsimonious_of_a_record_is_its_own():
     counts, background, starts = records(7)
-    together = parsimonious_limit(counts, background, starts)
+    together = parsimonious(counts, background, starts)
     for a, z in zip(starts, np.append(starts[1:], len(counts))):
-        assert together[a:z] == pytest.approx(parsimonious_limit(counts[a:z], background[a:z], np.array([0])), abs=1e-14)
+        assert together[a:z] == pytest.approx(parsimonious(counts[a:z], background[a:z], np.array([0])), abs=1e-14)
 
 
 def test_parsimonious_of_copies():
     counts, background, copies = np.array([5, 2, 1]), np.array([1e-4, 3e-3, 2e-2]), np.array([2, 3, 4])
-    apart = parsimonious_limit(np.repeat(counts, copies), np.repeat(background, copies), np.array([0]))
-    assert np.repeat(parsimonious_limit(counts, background, np.array([0]), copies=copies), copies) == pytest.approx(apart, abs=1e-14)
+    apart = parsimonious(np.repeat(counts, copies), np.repeat(background, copies), np.array([0]))
+    assert np.repeat(parsimonious(counts, background, np.array([0]), copies=copies), copies) == pytest.approx(apart, abs=1e-14)
 
 
 @pytest.mark.parametrize("floor", [10**6, 50])
@@ -59,7 +59,7 @@ def test_terms_at_the_limit(spark, floor):
     """The same whether hot records are spread over tasks or not."""
     k, _, cf, _ = profile(DOCS)
     df = spark.createDataFrame(DOCS, "rec string, id string, body string")
-    got = {(x.record, x.term): x.p_record for x in distinctive_terms(df, "rec", "id", "body", floor=floor, shares=8, limit=True).collect()}
+    got = {(x.record, x.term): x.p_record for x in distinctive_terms(df, "rec", "id", "body", floor=floor, shares=8).collect()}
     assert set(got) == {(r, w) for r, c in k.items() for w in c}
     for r, c in k.items():
         p = em(np.array(list(c.values())), np.array([cf[w] for w in c]) / sum(cf.values()), 0.1, 50_000)

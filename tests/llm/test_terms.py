@@ -142,13 +142,13 @@ def profile(docs):
     return k, d, cf, n_docs
 
 
-def em(counts, background, weight=0.1, rounds=50):
+def em(counts, background, weight=0.1, rounds=20_000):
     p = {w: c / sum(counts.values()) for w, c in counts.items()}
     for _ in range(rounds):
         e = {w: c * weight * p[w] / (weight * p[w] + (1 - weight) * background[w]) for w, c in counts.items()}
         total = sum(e.values())
         new = {w: x / total for w, x in e.items()}
-        if max(abs(new[w] - p[w]) for w in p) < 1e-5:
+        if max(abs(new[w] - p[w]) for w in p) < 1e-9:
             return new
         p = new
     return p
