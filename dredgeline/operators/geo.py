@@ -36,41 +36,56 @@ def _ranges(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(lo, hi))
 
 
-def point_in_region(points: DataFrame, edges: DataFrame, boundary: bool = True, pair_filter: Column | None = None) -> DataFrame:
-    """``(point, region)`` for each point inside a region, by counting crossings of an eastward ray with the outline.
+#: Strips of one region differ in height by powers of ``2**STRIDE``, so a point is put into few of them.
+STRIDE = 2
 
-    ``points(point, lat, lon, ...)``; ``edges(region, lat1, lon1, lat2, lon2, ...)``, the outline's edges in any order; several
-    rings of a region (holes, islands) count by parity. An outline that crosses the 180th meridian has longitudes
-    beyond 180 on one side, or beneath -180. Points on an edge or corner belong to the region if ``boundary``. Rows
-    with NULLs take no part. ``pair_filter`` may refer to all columns and leaves out pairs early.
 
-    Edges are binned into latitude strips, and within a strip into cells along the region's width, as fine as the
-    region is small; so a point meets only the edges of regions whose bounding box is about its own cell's size. A crossing is
-    counted in exactly one strip; an edge spans the latitudes from its lower end inclusive to its upper end exclusive.
+def met_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that each point meets: those whose latitude strip it lies in, about as wide around as their region is.
+
+    An edge lies in strips of about its own height, but no lower than the mean strip, the region's height by its number
+    of edges. So it lies in two of them or so, and the edges in a strip are as many as cross it: a point meets the edges
+    near its latitude, not all edges of the region. Within a strip, edges lie in cells along the region's width, as the ray of a
+    point runs east through them. A point looks into one strip of every height in use, so it meets an edge once at most.
     """
     edges = edges.dropna(subset=["region", "lat1", "lon1", "lat2", "lon2"])
     box = edges.groupBy("region").agg(
         F.min(F.least("lat1", "lat2")).alias("south"), F.max(F.greatest("lat1", "lat2")).alias("north"),
-        F.min(F.least("lon1", "lon2")).alias("west"), F.max(F.greatest("lon1", "lon2")).alias("east"))
+        F.min(F.least("lon1", "lon2")).alias("west"), F.max(F.greatest("lon1", "lon2")).alias("east"), F.count("*").alias("edges"))
     # the ray is followed as far as the box reaches; beyond 180 degrees the outline is also put where the points are
     shift = F.explode(F.filter(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)), lambda s: (F.col("west") + s <= 180) & (F.col("east") + s >= -180)))
     boxed = edges.join(box, "region").withColumn("shift", shift)
     for c in ("lon1", "lon2", "west", "east"):
         boxed = boxed.withColumn(c, F.col(c) + F.col("shift"))
-    boxed = boxed.withColumn("ny", _level(F.col("north") - F.col("south"))).withColumn("nx", _level(F.col("east") - F.col("west")))
-    # levels in use, with the latitudes at which they are: at most 31 * 31 rows
+    height = F.col("north") - F.col("south")
+    finer = _level(F.greatest(F.abs(F.col("lat2") - F.col("lat1")), height / F.col("edges"))) - _level(height)
+    boxed = boxed.withColumn("ny", _level(height) + (F.floor(finer / STRIDE) * STRIDE).cast("int")).withColumn("nx", _level(F.col("east") - F.col("west")))
+    # heights and widths in use, with the latitudes at which they are: at most 31 * 31 rows
     levels = boxed.groupBy("ny", "nx").agg(F.min("south").alias("lo"), F.max("north").alias("hi"), F.min(F.when((F.col("south") <= 0) & (F.col("north") >= 0), 0.0).otherwise(F.least(F.abs("south"), F.abs("north")))).alias("least")).collect()
     if not levels:
-        return points.select("point").limit(0).join(edges.select("region").limit(0), F.lit(True))
+        return points.limit(0).join(boxed.limit(0), F.lit(True))
     used = F.array(*(F.struct(F.lit(r.ny).alias("ny"), F.lit(r.nx).alias("nx"), F.lit(r.lo).alias("lo"), F.lit(r.hi).alias("hi"), F.lit(r.least).alias("least")) for r in levels))
     within = lambda u: (F.col("lat") >= u["lo"]) & (F.col("lat") <= u["hi"]) & (F.abs("lat") >= u["least"])
     binned = points.dropna(subset=["point", "lat", "lon"]).withColumn("u", F.explode(F.filter(used, within))).select("*", "u.ny", "u.nx").drop("u")
     binned = binned.withColumns({"strip": _cell(F.col("lat"), F.col("ny")), "cell": _cell(F.col("lon"), F.col("nx"))})
-
     reach = F.greatest("lon1", "lon2")  # east of the edge nothing is crossed
     laid = boxed.withColumn("strip", _ranges(_cell(F.least("lat1", "lat2"), F.col("ny")), _cell(F.greatest("lat1", "lat2"), F.col("ny")))).withColumn(
         "cell", _ranges(_cell(F.col("west"), F.col("nx")), _cell(reach, F.col("nx"))))
+    inside_box = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    return binned.join(laid, ["ny", "nx", "strip", "cell"]).where(inside_box)
+
 
+def point_in_region(points: DataFrame, edges: DataFrame, boundary: bool = True, pair_filter: Column | None = None) -> DataFrame:
+    """``(point, region)`` for each point inside a region, by counting crossings of an eastward ray with the outline.
+
+    ``points(point, lat, lon, ...)``; ``edges(region, lat1, lon1, lat2, lon2, ...)``, the outline's edges in any order; several
+    rings of a region (holes, islands) count by parity. An outline that crosses the 180th meridian has longitudes
+    beyond 180 on one side, or beneath -180. Points on an edge or corner belong to the region if ``boundary``. Rows
+    with NULLs take no part. ``pair_filter`` may refer to all columns and leaves out pairs early.
+
+    Points meet edges in latitude strips, see :func:`met_edges`. An edge spans the latitudes from its lower end inclusive to
+    its upper end exclusive, so a corner is crossed once.
+    """
     y, x = F.col("lat"), F.col("lon")
     spans = (F.least("lat1", "lat2") <= y) & (y < F.greatest("lat1", "lat2"))
     # the same order of the ends for both regions of a common edge
@@ -79,8 +94,7 @@ def point_in_region(points: DataFrame, edges: DataFrame, boundary: bool = True,
     at = xl + (y - yl) * (xh - xl) / F.when(yh != yl, yh - yl).otherwise(1.0)
     flat = (F.col("lat1") == F.col("lat2")) & (y == F.col("lat1")) & x.between(F.least("lon1", "lon2"), F.greatest("lon1", "lon2"))
     on = flat | ((F.col("lat1") != F.col("lat2")) & y.between(F.least("lat1", "lat2"), F.greatest("lat1", "lat2")) & (x == at))
-    inside_box = y.between(F.col("south"), F.col("north")) & x.between(F.col("west"), F.col("east"))
-    met = binned.join(laid, ["ny", "nx", "strip", "cell"]).where(inside_box)
+    met = met_edges(points, edges)
     if pair_filter is not None:
         met = met.where(pair_filter)
     counted = met.where(on | (spans & (x < at))).groupBy("point", "region", "shift").agg(

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dredgeline.operators.geo import EARTH_RADIUS, expand_near, near_points, point_in_region
+from dredgeline.operators.geo import EARTH_RADIUS, expand_near, met_edges, near_points, point_in_region
 from .conftest import rows
 
 
@@ -105,3 +105,20 @@ def test_plan_has_no_product(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 1.0001)], "id string, lat double, lon double")
     plan = near_points(df, "id", "lat", "lon", 75.0)[0]._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_points_meet_the_edges_of_their_strip(spark):
+    """Joined rows do not grow with the edges of a region as long as those at a point's latitude do not."""
+    draw = random.Random(6)
+    points = [(str(k), 30 + draw.uniform(-7, 7), 40 + draw.uniform(-7, 7)) for k in range(500)]
+    p = spark.createDataFrame(points, "point string, lat double, lon double")
+    for n, smooth in ((200, True), (2000, True), (20_000, True), (20_000, False)):
+        turn = [2 * math.pi * k / n for k in range(n)]
+        out = [10 if smooth else 10 + 0.5 * math.sin(k * 1.7) for k in range(n)]
+        edges = ring([(30 + r * math.sin(a), 40 + r * math.cos(a)) for r, a in zip(out, turn)])
+        df = spark.createDataFrame(edges, "region string, lat1 double, lon1 double, lat2 double, lon2 double")
+        met = met_edges(p, df)
+        crossing = sum(min(a, c) <= y <= max(a, c) for _, a, _, c, _ in edges for _, y, _ in points[:20]) / 20
+        assert met.count() <= 500 * (8 * crossing + 16)
+        if n <= 2000:
+            assert {r.point for r in point_in_region(p, df).collect()} == {i for i, y, x in points if math.hypot(y - 30, x - 40) < 10}
