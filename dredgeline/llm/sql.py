@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .visual_form import LOOK_ALIKE, mapping_rows
+
 _REVIEWS = """one as (select review_id, user_id, business_id, text from (
     select nullif(trim(review_id), '') as review_id, nullif(trim(user_id), '') as user_id, nullif(trim(business_id), '') as business_id, text,
            row_number() over (partition by trim(review_id) order by ingested_at) as k from review where nullif(trim(review_id), '') is not null) where k = 1),
@@ -13,6 +15,17 @@ pair as (select met.a, met.b, met.c, sa.n as na, sb.n as nb from met join size s
 
 _WORDS = """said as (select review_id, business_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from one)"""
 
+def _forms_sql() -> str:
+    """The form of every text: code points mapped one by one, then composed by the database's own function."""
+    rows = [(ord(c), parts.replace("'", "''")) for c, parts, _ in mapping_rows(LOOK_ALIKE)[0]]
+    table = f"m as (select unnest([{', '.join(str(o) for o, _ in rows)}]) as cp, unnest([{', '.join(f"'{p}'" for _, p in rows)}]) as part)"
+    return f"""{table}, split as (select doc_id, regexp_extract_all(text, '(?s).') as chars from documents where text is not null), pts as (select doc_id, unnest(chars) as ch, unnest(range(len(chars))) as pos from split),
+        built as (select doc_id, string_agg(coalesce(part, ch), '' order by pos) as s from pts left join m on unicode(ch) = cp group by doc_id),
+        forms as (select doc_id, text, case when text is not null then nfc_normalize(coalesce(s, '')) end as form from documents left join built using (doc_id))"""
+
+
+_FORMS = _forms_sql()
+
 SQL = {
     "p1_found": f"with {_REVIEWS}, {_PAIRS} select a as business_a, b as business_b from pair where na >= 3 and nb >= 3 and c >= 0.5 * (na + nb - c)",
     "p2_found": f"""with {_REVIEWS}, {_WORDS}, freq as (select word, count(distinct review_id) as d from said group by word)
@@ -38,4 +51,7 @@ SQL = {
         upto as (select *, sum(k) over best / (1 + sum(g) over best) as t from base window best as (partition by b order by k / g desc)),
         p as (select b, word, k, d, greatest(0, k / max(t) over (partition by b) - g) as p from upto)
         select b as business_id, word, k, d, round(p, 6) as p_record from p qualify row_number() over (partition by b order by p desc, word) <= 10""",
+    "p10_forms": f"with {_FORMS} select doc_id, md5(form) as form_md5, form <> text as changed from forms",
+    "p10_found": f"""with {_FORMS}, seen as (select doc_id, text, form from forms where regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
+        select x.doc_id as doc_a, y.doc_id as doc_b from seen x join seen y on x.form = y.form and x.doc_id < y.doc_id where x.text <> y.text""",
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
+from string import ascii_letters
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +15,23 @@ from pyspark.sql.window import Window
 
 from ..session import written
 
-#: Letters of other alphabets with the shape of a Latin letter, lower case, then upper case.
+#: Letters of other alphabets with the shape of a Latin letter, those of the commonest alphabets.
 LOOK_ALIKE = {
     # Cyrillic
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "г": "r", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ѡ": "w", "ѵ": "v", "ү": "y", "һ": "h", "ҽ": "e", "ӏ": "i", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ꙇ": "i",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ь": "b", "Ѕ": "S", "І": "I", "Ј": "J", "Ѵ": "V", "Ү": "Y", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
     # Greek
-    "ν": "v", "ο": "o",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j",
+    "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "ϲ": "c", "ϳ": "j",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϝ": "F", "Ϳ": "J", "Ϻ": "M",
     # Armenian
-    "օ": "o", "Օ": "O", "ս": "u", "հ": "h",
+    "ա": "w", "գ": "q", "զ": "q", "հ": "h", "ո": "n", "ռ": "n", "ս": "u", "ց": "g", "ք": "f", "օ": "o", "Ս": "U", "Տ": "S", "Օ": "O",
+    # Phonetic
+    "ɑ": "a", "ɡ": "g", "ɣ": "y", "ɩ": "i", "ɪ": "i", "ɯ": "w", "ʋ": "u", "ʏ": "y",
 }
 
+#: Scripts, by the first word of a letter's name, whose signs are not letters of an alphabet.
+NOT_ALPHABETS = ("CJK", "HANGUL", "KATAKANA", "HIRAGANA", "KANGXI", "TANGUT", "NUSHU", "KHITAN", "EGYPTIAN", "ANATOLIAN", "CUNEIFORM", "BAMUM", "VAI", "YI")
+
 #: Compatibility decompositions that change only a letter's width or its place in a joined word.
 WIDTH_OR_SHAPE = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
 
@@ -45,7 +53,39 @@ def _letters(s: str) -> bool:
     return all(unicodedata.category(c)[0] in "LM" for c in s)
 
 
-def _expanded(c: str) -> str:
+def _alphabetic(c: str) -> bool:
+    """A letter, written from the left, that stands for itself; of Latin only the phonetic ones."""
+    if unicodedata.category(c) not in ("Lu", "Ll", "Lo") or unicodedata.decomposition(c) or unicodedata.bidirectional(c) != "L":
+        return False
+    script = unicodedata.name(c, "CJK").replace("-", " ").split()[0]
+    return script not in NOT_ALPHABETS and (script != "LATIN" or 0x250 <= ord(c) < 0x2B0)
+
+
+_alike: dict[str, str] = {}
+
+
+def look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Letters of other alphabets and the Latin letter of the same shape: :data:`LOOK_ALIKE`, and for all other alphabets
+    those that the confusables of the Unicode standard, as the engine's own library has them, map to a single letter."""
+    if not _alike:
+        found: dict[str, str] = {}
+        try:
+            skeleton = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+            latin: dict[str, list[str]] = {}
+            for letter, shape in zip(ascii_letters, skeleton("\n".join(ascii_letters)).split("\n")):
+                latin.setdefault(shape, []).append(letter)
+            asked = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if _alphabetic(c)]
+            for c, shape in zip(asked, skeleton("\n".join(asked)).split("\n"), strict=True):
+                # capital I and small l have one shape there
+                if letters := latin.get(shape):
+                    found[c] = letters[0 if unicodedata.category(c) == "Ll" else -1]
+        except TypeError:  # a library without it: its name is then not callable
+            pass
+        _alike.update({**found, **LOOK_ALIKE})
+    return _alike
+
+
+def _expanded(c: str, alike: dict[str, str]) -> str:
     """The characters that a code point stands for, fully decomposed; "" if it is invisible."""
     if _invisible(c):
         return ""
@@ -58,32 +98,70 @@ def _expanded(c: str) -> str:
         joined = kind == "<compat>" and unicodedata.category(c)[0] == "L" and len(mapped) > 1 and _letters(mapped)
         radical = kind == "<compat>" and unicodedata.category(c) == "So" and len(mapped) == 1 and unicodedata.category(mapped) == "Lo"
         if not (kind in WIDTH_OR_SHAPE or kind == "<noBreak>" or joined or radical):
-            return c
-        return "".join(_expanded(m) for m in mapped)
+            return alike.get(c, c)
+        return "".join(_expanded(m, alike) for m in mapped)
     if parts:
-        return "".join(_expanded(m) for m in unicodedata.normalize("NFD", c))
-    return LOOK_ALIKE.get(c, c)
+        return "".join(_expanded(m, alike) for m in unicodedata.normalize("NFD", c))
+    return alike.get(c, c)
 
 
-def form(text: str) -> str:
+def form(text: str, alike: dict[str, str] = LOOK_ALIKE) -> str:
     """The consistent form of one string: what the DataFrame operator computes, for tests."""
-    return unicodedata.normalize("NFC", "".join(map(_expanded, text)))
+    return unicodedata.normalize("NFC", "".join(_expanded(c, alike) for c in text))
+
+
+# --- tables, all of a size that does not depend on the data ---
+
+#: Fixed values of Hangul: first lead, vowel, trail and syllable, and how many of each.
+LEAD, VOWEL, TRAIL, SYLLABLE, LEADS, VOWELS, TRAILS = 0x1100, 0x1161, 0x11A7, 0xAC00, 19, 21, 28
+
+
+def _assigned() -> Iterator[str]:
+    """Code points beyond ASCII that have a meaning; Hangul syllables are composed already and follow a rule."""
+    for o in range(0x80, sys.maxunicode + 1):
+        c = chr(o)
+        if unicodedata.category(c) not in ("Cs", "Co", "Cn") and not SYLLABLE <= o < SYLLABLE + LEADS * VOWELS * TRAILS:
+            yield c
+
+
+@cache
+def decompositions() -> dict[str, str]:
+    """What each composed code point consists of, canonically and fully, in the order of the marks' classes."""
+    return {c: d for c in _assigned() if (d := unicodedata.normalize("NFD", c)) != c}
+
+
+@cache
+def classes() -> dict[str, int]:
+    """The combining class of each mark that has one; marks of one class keep their order."""
+    return {c: k for c in _assigned() if (k := unicodedata.combining(c))}
+
+
+@cache
+def compositions() -> dict[str, dict[str, str]]:
+    """By second code point: the first ones that compose with it, and to what."""
+    out: dict[str, dict[str, str]] = {}
+    for c in _assigned():
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", c) == c:
+            out.setdefault(chr(int(parts[1], 16)), {})[chr(int(parts[0], 16))] = c
+    for v in range(VOWELS):
+        out[chr(VOWEL + v)] = {chr(LEAD + k): chr(SYLLABLE + (k * VOWELS + v) * TRAILS) for k in range(LEADS)}
+    for t in range(1, TRAILS):
+        out[chr(TRAIL + t)] = {chr(SYLLABLE + k * TRAILS): chr(SYLLABLE + k * TRAILS + t) for k in range(LEADS * VOWELS)}
+    return out
 
 
 def _joins(c: str) -> bool:
     """Whether the code point may combine with what stands before it."""
-    return unicodedata.combining(c) > 0 or c in _second
+    return unicodedata.combining(c) > 0 or c in compositions()
 
 
-def _tables() -> tuple[list[tuple[str, str, bool]], set[str]]:
+@cache
+def _mapped(alike: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, str, bool]], set[str]]:
     """Code points that do not stand for themselves alone: ``(code point, its form, whether that begins by joining)``."""
-    rows, joining = [], set()
-    for o in range(0x80, sys.maxunicode + 1):
-        c = chr(o)
-        kind = unicodedata.category(c)
-        if kind in ("Cs", "Co", "Cn") or 0xAC00 <= o <= 0xD7A3:  # Hangul syllables are composed already
-            continue
-        parts = unicodedata.normalize("NFC", _expanded(c))
+    rows, joining, letters = [], set(), dict(alike)
+    for c in _assigned():
+        parts = unicodedata.normalize("NFC", _expanded(c, letters))
         if parts != c:
             rows.append((c, parts, bool(parts) and _joins(parts[0])))
         if parts and _joins(parts[0]):
@@ -92,20 +170,8 @@ def _tables() -> tuple[list[tuple[str, str, bool]], set[str]]:
     return rows, joining
 
 
-def _seconds() -> set[str]:
-    """Code points without a combining class that compose with the one before: second parts of decompositions, jamo."""
-    out = {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
-    for o in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= o <= 0xD7A3:
-            continue
-        d = unicodedata.decomposition(chr(o))
-        if d and d[0] != "<" and " " in d:
-            out.add(chr(int(d.split()[1], 16)))
-    return {c for c in out if unicodedata.combining(c) == 0}
-
-
-_second = _seconds()
-_rows, _joining = _tables()
+def mapping_rows(alike: dict[str, str]) -> tuple[list[tuple[str, str, bool]], set[str]]:
+    return _mapped(tuple(sorted(alike.items())))
 
 
 def _ranges(points: set[str]) -> str:
@@ -122,18 +188,38 @@ def _ranges(points: set[str]) -> str:
     return "".join(out)
 
 
-#: A text without any of these about 4,000 code points is in its form already.
-_TOUCHED = "".join(sorted({r[0] for r in _rows} | _joining)).replace("\0", "")
-#: Marks, and the few other code points that join the one before.
-_JOINED = r"[\p{M}" + _ranges({c for c in _joining if unicodedata.category(c)[0] != "M"}) + "]"
-
-
-def mapping(spark: SparkSession) -> DataFrame:
-    """``(ch, parts, joins)`` of about 5,000 code points; the same size whatever the data, so it may be broadcast."""
-    return spark.createDataFrame(pd.DataFrame(_rows, columns=["ch", "parts", "joins"]), "ch string, parts string, joins boolean")
-
+def composed(letters: DataFrame) -> DataFrame:
+    """``(part, whole)`` of the letters with their marks in ``part``: decomposed, the marks ordered by class, and recomposed.
 
-def visual_form(df: DataFrame, record: str, text: str) -> DataFrame:
+    Decompositions and combining classes are joined code point by code point. Marks are put in order of their class between
+    code points without one. Then a letter is composed with each mark in turn, unless one of the same or a higher class
+    stands between and is left over.
+    """
+    spark = letters.sparkSession
+    table = lambda rows, names: F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=names.replace(" string", "").replace(" int", "").split(", ")), names))
+    points = letters.select("part").distinct().select("part", F.posexplode(F.split("part", "")).alias("pos", "ch"))
+    points = points.join(table(list(decompositions().items()), "ch string, parts string"), "ch", "left").select(
+        "part", "pos", F.posexplode(F.split(F.coalesce("parts", "ch"), "")).alias("sub", "ch"))
+    points = points.join(table(list(classes().items()), "ch string, class int"), "ch", "left").withColumn("class", F.coalesce("class", F.lit(0)))
+    run = F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(Window.partitionBy("part").orderBy("pos", "sub"))
+    ordered = points.withColumn("run", run).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("run", "class", "pos", "sub", "ch"))).alias("seq"))
+    pairs = F.broadcast(spark.createDataFrame([(compositions(),)], "pairs map<string,map<string,string>>"))  # one row
+
+    def add(acc, e):
+        """``acc``: what is finished, the letter, the marks left over after it, the class of the last of these."""
+        whole = F.col("pairs")[e["ch"]][acc["letter"]]
+        free = (acc["marks"] == "") | ((acc["last"] > 0) & (acc["last"] < e["class"]))
+        state = lambda done, letter, marks, last: F.struct(done.alias("done"), letter.alias("letter"), marks.alias("marks"), last.alias("last"))
+        return F.when(whole.isNotNull() & free, state(acc["done"], whole, acc["marks"], acc["last"])).when(
+            e["class"] == 0, state(F.concat(acc["done"], acc["letter"], acc["marks"]), e["ch"], F.lit(""), F.lit(0))).otherwise(
+            state(acc["done"], acc["letter"], F.concat(acc["marks"], e["ch"]), e["class"]))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("letter"), F.lit("").alias("marks"), F.lit(0).alias("last"))
+    whole = F.aggregate("seq", start, add, lambda acc: F.concat(acc["done"], acc["letter"], acc["marks"]))
+    return ordered.crossJoin(pairs).select("part", whole.alias("whole"))
+
+
+def visual_form(df: DataFrame, record: str, text: str, alike: dict[str, str] | None = None) -> DataFrame:
     """``(record, text, form)``: each text with the form that all texts of the same look share.
 
     Full- and half-width forms, presentation forms and letter ligatures become plain letters; letters of the same shape in
@@ -144,38 +230,37 @@ def visual_form(df: DataFrame, record: str, text: str) -> DataFrame:
 
     Texts of code points that stand for themselves, and join nothing, are their own form. All others are taken apart into positioned code
     points, mapped by a broadcast join, and rebuilt; where marks stand apart from their letters, each letter is
-    recomposed with its marks.
+    recomposed with its marks, see :func:`composed`. ``alike`` replaces the table of :func:`look_alikes`.
     """
     spark = df.sparkSession
+    mapping, joining = mapping_rows(look_alikes(spark) if alike is None else alike)
+    joined = r"[\p{M}" + _ranges({c for c in joining if unicodedata.category(c)[0] != "M"}) + "]"
     rows = df.select(F.col(record).alias("record"), F.col(text).alias("text"))
-    # translate looks each code point up in one table, which a character class of hundreds of ranges does not
-    kept = F.translate("text", _TOUCHED, "")
+    # a text without any of these some 4,000 code points is in its form already; translate looks each code point up in
+    # one table, which a character class of hundreds of ranges does not
+    kept = F.translate("text", "".join(sorted({r[0] for r in mapping} | joining)).replace("\0", ""), "")
     touched = F.coalesce((F.col("text") != kept) | F.contains("text", F.lit("\0")), F.lit(False))
     plain = rows.where(~touched).select("record", "text", F.col("text").alias("form"))
     apart = rows.where(touched).repartition("record")  # shuffled as texts; code points then stay where they are
-    table = F.broadcast(mapping(spark))
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame(mapping, columns=["ch", "parts", "joins"]), "ch string, parts string, joins boolean"))
 
-    points = apart.select("record", F.col("text").rlike(_JOINED).alias("marked"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    points = apart.select("record", F.col("text").rlike(joined).alias("marked"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
     mapped = points.join(table, "ch", "left").select(
-        "record", "marked", "pos", F.coalesce("parts", "ch").alias("part"), F.coalesce("joins", F.col("ch").rlike(_JOINED)).alias("joins")).where("part != ''")
+        "record", "marked", "pos", F.coalesce("parts", "ch").alias("part"), F.coalesce("joins", F.col("ch").rlike(joined)).alias("joins")).where("part != ''")
     simple = mapped.where(~F.col("marked")).select("record", "pos", "part")
 
     order = Window.partitionBy("record").orderBy("pos")
     lettered = mapped.where("marked").withColumn("letter", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
-
-    @F.pandas_udf("string")
-    def composed(letter: pd.Series) -> pd.Series:
-        once = {s: unicodedata.normalize("NFC", s) for s in letter.unique()}
-        return letter.map(once)
-
-    # marks are put in order of their class and composed letter by letter
     letters = lettered.groupBy("record", "letter").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    whole = letters.select("record", "pos", F.array_join("parts.part", "").alias("part"))
-    joined = lambda parts: parts.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part"))).getField("part"), "").alias("form"))
-    is_marked = F.col("text").rlike(_JOINED)
+    letters = letters.select("record", "pos", F.array_join("parts.part", "").alias("part"), (F.size("parts") > 1).alias("several"))
+    # each distinct letter with marks is composed once
+    several = letters.where("several").select("part").distinct()
+    whole = letters.join(composed(several), "part", "left").select("record", "pos", F.coalesce("whole", "part").alias("part"))
+    rebuilt = lambda parts: parts.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part"))).getField("part"), "").alias("form"))
+    is_marked = F.col("text").rlike(joined)
     done = plain
-    for part, built in ((~is_marked, simple), (is_marked, whole.select("record", "pos", composed("part").alias("part")))):
-        done = done.unionByName(apart.where(part).join(joined(built), "record", "left").select("record", "text", F.coalesce("form", F.lit("")).alias("form")))
+    for part, built in ((~is_marked, simple), (is_marked, whole)):
+        done = done.unionByName(apart.where(part).join(rebuilt(built), "record", "left").select("record", "text", F.coalesce("form", F.lit("")).alias("form")))
     return done.select(F.col("record").alias(record), F.col("text").alias(text), "form")
 
 

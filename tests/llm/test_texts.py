@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import string
 import unicodedata
 
 import numpy as np
@@ -189,7 +190,7 @@ def formed(spark, texts):
 def test_forms(spark):
     flat = [t for p in SAME + DIFFERENT for t in p]
     got = formed(spark, flat)
-    assert got == [visual_form.form(t) for t in flat]
+    assert got == [visual_form.form(t, visual_form.look_alikes(spark)) for t in flat]
     for k in range(0, 2 * len(SAME), 2):
         assert got[k] == got[k + 1], flat[k:k + 2]
     for k in range(2 * len(SAME), len(flat), 2):
@@ -200,7 +201,7 @@ def test_forms(spark):
 def test_odd_texts(spark):
     long = "Ｌong café " * 20_000
     texts = [None, "", " ", "​​", "́", "́́á", "plain\ttext\r\n", "\x00a\x7f", "𝒳😀‍😀", long]
-    assert formed(spark, texts) == [None if t is None else visual_form.form(t) for t in texts]
+    assert formed(spark, texts) == [None if t is None else visual_form.form(t, visual_form.look_alikes(spark)) for t in texts]
     assert formed(spark, []) == []
 
 
@@ -210,14 +211,34 @@ def test_any_text(spark, texts, seed):
     draw = random.Random(seed)
     marks = [chr(c) for c in (0x300, 0x301, 0x308, 0x323, 0x327, 0x3099, 0x1161, 0x11a8, 0x93c, 0x9be)]
     texts = texts + ["".join(x + draw.choice(marks) * draw.randrange(3) for x in t) for t in texts]
-    assert formed(spark, texts) == [visual_form.form(t) for t in texts]
+    assert formed(spark, texts) == [visual_form.form(t, visual_form.look_alikes(spark)) for t in texts]
 
 
-def test_form_is_stable():
+def test_form_is_stable(spark):
+    alike = visual_form.look_alikes(spark)
     for o in range(0x80, 0x30000):
         c = chr(o)
         if unicodedata.category(c) not in ("Cs", "Cn", "Co"):
-            assert visual_form.form(visual_form.form(c)) == visual_form.form(c), hex(o)
+            assert visual_form.form(visual_form.form(c, alike), alike) == visual_form.form(c, alike), hex(o)
+
+
+def test_letters_of_many_alphabets(spark):
+    """Of the Unicode confusables, not only the commonest alphabets."""
+    alike = visual_form.look_alikes(spark)
+    assert {alike[c] for c in "ᎪꓮА"} == {"A"} and alike["ꓲ"] == alike["Ӏ"] == "I" and alike["ց"] == "g" and alike["ⲟ"] == "o"
+    assert not set(alike) & set("ßœæþłийзлж一ー가") and all(len(v) == 1 and v in string.ascii_letters for v in alike.values()) and len(alike) > 250
+    assert formed(spark, ["ᎪꓐϹ", "ρɑу"]) == ["ABC", "pay"]
+
+
+def test_composition_is_canonical(spark):
+    """Against the standard library: every composed code point, decomposed, with marks of other classes between."""
+    draw = random.Random(8)
+    marks = sorted(visual_form.classes())
+    parts = [unicodedata.normalize("NFD", c) for c in visual_form.decompositions()] + [chr(0x1100 + k % 19) + chr(0x1161 + k % 21) + chr(0x11A7 + k % 28) for k in range(120)]
+    parts += [p[0] + "".join(draw.choice(marks) for _ in range(draw.randrange(4))) + p[1:] + draw.choice(marks) for p in parts]
+    parts += ["".join(draw.choice("aͅọ̧가ᅡᆨक़াো") + draw.choice(marks) * draw.randrange(2) for _ in range(draw.randrange(1, 8))) for _ in range(500)] + ["a" + "\u0301" * 500]
+    got = {r.part: r.whole for r in visual_form.composed(spark.createDataFrame([(p,) for p in parts], "part string")).collect()}
+    assert {p: unicodedata.normalize("NFC", p) for p in set(parts)} == got
 
 
 def test_same_look(spark):
