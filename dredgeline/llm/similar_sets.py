@@ -16,12 +16,11 @@ def record_sets(df: DataFrame, record: str, item: str, min_size: int = 1) -> Dat
     return held.join(held.groupBy("item").agg(F.count("*").alias("df")), "item")
 
 
-def pivot_cells(sets: DataFrame, radius: float) -> DataFrame:
-    """``(record, cell, d)`` of every record: its home, the cell of its nearest pivot, and the distance to that.
+def net(sets: DataFrame, radius: float) -> DataFrame:
+    """``(record, cell, d)`` of the records with another one within ``radius``: the pivot they are at home with, and its distance.
 
-    Pivots are a net. Of records within ``radius`` of each other, one whose number (a hash of the key) is least among all that
-    are near to it is a pivot, and the others are at home with the nearest pivot that they are near to; a record
-    near to no pivot is a pivot itself. So every record is within ``radius`` of its pivot.
+    Of records within ``radius`` of each other, one whose number (a hash of the key) is least among all that are near to it is
+    a pivot, and the others are at home with the nearest pivot that they are near to.
     """
     near = within(sets, sets, sets, 1 - radius, once=True).select("a", "b", (1 - similarity()).alias("d"))
     near = written(near.select("a", "b", "d").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")), "near")
@@ -30,7 +29,16 @@ def pivot_cells(sets: DataFrame, radius: float) -> DataFrame:
     pivots = written(least.select(F.col("a").alias("cell")), "pivots")
     nearest = near.join(pivots, near["b"] == pivots["cell"]).groupBy("a").agg(F.min(F.struct("d", "cell")).alias("best"))
     homes = nearest.select(F.col("a").alias("record"), "best.cell", "best.d")
-    return sets.select("record").join(homes, "record", "left").select("record", F.coalesce("cell", "record").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    return homes.unionByName(pivots.select(F.col("cell").alias("record"), "cell", F.lit(0.0).alias("d")))
+
+
+def pivot_cells(sets: DataFrame, radius: float) -> DataFrame:
+    """``(record, cell, d)`` of every record: its home, the cell of its nearest pivot, and the distance to that.
+
+    Pivots are a :func:`net`, to which each record without a pivot near to it belongs as a pivot itself. So every record is
+    within ``radius`` of its pivot.
+    """
+    return sets.select("record").join(net(sets, radius), "record", "left").select("record", F.coalesce("cell", "record").alias("cell"), F.coalesce("d", F.lit(0.0)).alias("d"))
 
 
 def cell_guests(sets: DataFrame, homes: DataFrame, threshold: float, radius: float) -> DataFrame:
@@ -39,20 +47,20 @@ def cell_guests(sets: DataFrame, homes: DataFrame, threshold: float, radius: flo
     If x is at home in the cell of pivot p with the largest distance R of a home to it, and y is within ``1 - threshold`` of
     x, then ``d(y, p) <= d(x, p) + d(x, y) <= R + 1 - threshold``; all y within that bound are guests of the cell. A pair has
     met if either of the two is a guest in the other's cell, so only one of two cells takes the guest: of a cell of several
-    records and one of a single record the former, of two of one kind that of the smaller pivot (the smaller set first).
-    ``na``, ``nb`` and ``shared`` are those of the pivot and the guest, whose distance is thereby exact.
+    records and one of a single record the former, of two of several that of the smaller pivot, of two of one that of the
+    smaller set. ``na``, ``nb`` and ``shared`` are those of the pivot and the guest, whose distance is thereby exact.
 
-    The distances come from an index of the rarest items of the pivots and the records, at the bound of the cell's kind.
+    ``homes`` is the :func:`net`; cells of a single record have R = 0 and no rows in it. Distances come from an index of the
+    rarest items of pivots and records, at the bound of the cell's kind.
     """
     reach = 1 - threshold
-    cells = homes.groupBy("cell").agg(F.max("d").alias("R"), F.count("*").alias("homes"))
-    placed = written(sets.join(homes, "record").join(cells, "cell"), "placed")
-    lone, shared_cell = placed.where("homes = 1"), placed.where("homes > 1")
+    lone = sets.join(homes.select("record"), "record", "left_anti")
     of_lone = within(lone, lone, sets, threshold, once=True).withColumn("R", F.lit(0.0))
-    pivots = shared_cell.where(F.col("record") == F.col("cell"))
-    found = within(pivots, placed, sets, max(threshold - radius, 1e-6), once=False)
-    of_shared = found.join(pivots.select(F.col("record").alias("a"), "R"), "a").join(shared_cell.select(F.col("record").alias("b"), F.col("cell").alias("home")), "b", "left")
-    guests = of_lone.unionByName(of_shared.where(F.col("home").isNull() | (F.col("home") > F.col("a"))).drop("home"))
+    cells = homes.groupBy("cell").agg(F.max("d").alias("R"))
+    pivots = sets.join(cells.select(F.col("cell").alias("record")), "record", "left_semi")
+    found = within(pivots, sets, sets, max(threshold - radius, 1e-6), once=False)
+    found = found.join(cells.withColumnRenamed("cell", "a"), "a").join(homes.select(F.col("record").alias("b"), F.col("cell").alias("home")), "b", "left")
+    guests = of_lone.unionByName(found.where(F.col("home").isNull() | (F.col("home") > F.col("a"))).drop("home"))
     guests = guests.withColumn("d", 1 - similarity()).where(F.col("d") <= F.col("R") + reach + 1e-9)
     return guests.select(F.col("a").alias("cell"), F.col("b").alias("record"), "R", "d", "na", "nb", "shared")
 
@@ -61,19 +69,18 @@ def cell_pairs(sets: DataFrame, threshold: float, radius: float) -> DataFrame:
     """``(cell, a, b, na, nb, shared)``: the similar pairs, each once, with the cell in which the two met.
 
     Within a cell, homes meet homes and guests unless the triangle inequality keeps them apart, ``|d(x, p) - d(y, p)| > 1 -
-    threshold``. The pivot's own pairs are known by their distance, all others are measured. Homes are so near to their
-    pivot, twice the radius being at most ``1 - threshold``, that all of them are similar: a crowded cell makes no pairs in vain.
+    threshold``. The pivot's own pairs with guests are known by their distance, all others are measured. Homes are so near to
+    their pivot, twice the radius being at most ``1 - threshold``, that all of them are similar: a crowded cell makes no pairs
+    in vain.
     """
     reach = 1 - threshold
-    homes = written(pivot_cells(sets, radius), "homes")
+    homes = written(net(sets, radius), "homes")
     guests = written(cell_guests(sets, homes, threshold, radius), "guests")
     of_pivot = guests.where(F.col("d") <= reach + 1e-9).select("cell", F.col("cell").alias("a"), F.col("record").alias("b"), "na", "nb", "shared")
-    others = homes.where(F.col("record") != F.col("cell"))
-    inside = homes.join(others.select("cell").distinct(), "cell", "left_semi").select("cell", "record", "d", F.lit(True).alias("home"))
-    inside = inside.unionByName(guests.where("R > 0").select("cell", "record", "d", F.lit(False).alias("home")))
-    x = others.select("cell", F.col("record").alias("x"), F.col("d").alias("dx"))
+    inside = homes.select("cell", "record", "d", F.lit(True).alias("home")).unionByName(guests.where("R > 0").select("cell", "record", "d", F.lit(False).alias("home")))
+    x = homes.where(F.col("record") != F.col("cell")).select("cell", F.col("record").alias("x"), F.col("d").alias("dx"))
     y = inside.select("cell", F.col("record").alias("y"), F.col("d").alias("dy"), "home")
-    # of two homes the later one, or one of them the pivot, looks for the other
+    # of two homes the later one, or the one that is not the pivot, looks for the other
     once = ~F.col("home") | (F.col("y") == F.col("cell")) | (F.col("y") < F.col("x"))
     met = x.join(y, "cell").where(once & (F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= reach + 1e-9))
     met = written(met.select("cell", F.col("x").alias("a"), F.col("y").alias("b")), "met")
@@ -108,7 +115,7 @@ def similar_sets(df: DataFrame, record: str, item: str, threshold: float = 0.5,
     representatives once, the smaller record first. :func:`expand_pairs` gives the pairs of all records.
 
     NULL records and items are ignored, a repeated item counts once, other columns are not read, an empty table gives
-    no rows. ``radius`` is that of the cells (see :func:`pivot_cells`), at most half of ``1 - threshold``. Sets of more than
+    no rows. ``radius`` is that of the cells (see :func:`net`), at most half of ``1 - threshold``. Sets of more than
     ``large`` items go through :func:`_join_large`. The result depends on neither.
     """
     if not 0 < threshold <= 1:

@@ -97,7 +97,7 @@ def test_every_pair_meets_in_a_cell(spark, threshold, radius):
     sets = _sets(spark, held)
     found_ = similar_sets.cell_pairs(sets, threshold, radius).collect()
     home = {r.record: (r.cell, r.d) for r in similar_sets.pivot_cells(sets, radius).collect()}
-    guests = {(r.cell, r.record): r for r in similar_sets.cell_guests(sets, spark.createDataFrame([(k, *v) for k, v in home.items()], "record string, cell string, d double"), threshold, radius).collect()}
+    guests = {(r.cell, r.record): r for r in similar_sets.cell_guests(sets, similar_sets.net(sets, radius), threshold, radius).collect()}
     real = [(min(r.a, r.b), max(r.a, r.b)) for r in found_ if r.shared >= threshold * (r.na + r.nb - r.shared) - 1e-12]
     assert sorted(real) == jaccard_pairs(held, threshold) and len(real) > 3
     for r in found_:
