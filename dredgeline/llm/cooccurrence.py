@@ -158,7 +158,8 @@ def surprising_pairs(df: DataFrame, basket: str, item: str, min_count: int = 5,
                 out.append((lo_, hi_, c, float((q * trials).sum()), poisson_binomial_tail(q, trials, int(c))))
             yield pd.DataFrame(out, columns=["lo", "hi", "c", "expected", "p_value"])
 
-    kinds = pairs.select("lo", "hi", "c").distinct()
+    # a number that is not adapted: few rows, but much work for each
+    kinds = pairs.select("lo", "hi", "c").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     judged = written(kinds.mapInPandas(tails, "lo int, hi int, c long, expected double, p_value double"), "tails")
     tests = n_items * (n_items - 1) / 2
     ranks = _false_discovery(pairs.join(judged, ["lo", "hi", "c"]), tests)
