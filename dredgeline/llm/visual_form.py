@@ -241,10 +241,11 @@ def visual_form(df: DataFrame, record: str, text: str, alike: dict[str, str] | N
     kept = F.translate("text", "".join(sorted({r[0] for r in mapping} | joining)).replace("\0", ""), "")
     touched = F.coalesce((F.col("text") != kept) | F.contains("text", F.lit("\0")), F.lit(False))
     plain = rows.where(~touched).select("record", "text", F.col("text").alias("form"))
-    apart = rows.where(touched).repartition("record")  # shuffled as texts; code points then stay where they are
+    # written once, as several branches read it; shuffled as texts, and code points then stay where they are
+    apart = written(rows.where(touched).withColumn("marked", F.col("text").rlike(joined)), "touched").repartition("record")
     table = F.broadcast(spark.createDataFrame(pd.DataFrame(mapping, columns=["ch", "parts", "joins"]), "ch string, parts string, joins boolean"))
 
-    points = apart.select("record", F.col("text").rlike(joined).alias("marked"), F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    points = apart.select("record", "marked", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     mapped = points.join(table, "ch", "left").select(
         "record", "marked", "pos", F.coalesce("parts", "ch").alias("part"), F.coalesce("joins", F.col("ch").rlike(joined)).alias("joins")).where("part != ''")
     simple = mapped.where(~F.col("marked")).select("record", "pos", "part")
@@ -257,9 +258,8 @@ def visual_form(df: DataFrame, record: str, text: str, alike: dict[str, str] | N
     several = letters.where("several").select("part").distinct()
     whole = letters.join(composed(several), "part", "left").select("record", "pos", F.coalesce("whole", "part").alias("part"))
     rebuilt = lambda parts: parts.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "part"))).getField("part"), "").alias("form"))
-    is_marked = F.col("text").rlike(joined)
     done = plain
-    for part, built in ((~is_marked, simple), (is_marked, whole)):
+    for part, built in ((~F.col("marked"), simple), (F.col("marked"), whole)):
         done = done.unionByName(apart.where(part).join(rebuilt(built), "record", "left").select("record", "text", F.coalesce("form", F.lit("")).alias("form")))
     return done.select(F.col("record").alias(record), F.col("text").alias(text), "form")
 
