@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Opening quotes and the quotes that close them, fixed values.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
 
@@ -66,24 +68,24 @@ def dialects(field: str, delimiters: str = DELIMITERS) -> list[tuple[str, bool]]
 
 
 def _readings(fields: DataFrame, delimiters: str) -> DataFrame:
-    """``(field, choice, used, values)``: the different parses of each field. ``choice`` 0 splits at every delimiter."""
+    """``(field, weight, several, choice, used, values)``: the different parses of each field. ``choice`` 0 splits at every
+    delimiter; ``several`` says whether there are others."""
 
     def read(batches):
         for t in batches:
             rows = []
-            for field in t["field"]:
-                seen = set()
+            for field, weight in zip(t["field"], t["weight"]):
+                found = {}
                 for choice, (used, quoted) in enumerate(dialects(field, delimiters)):
                     values = parse(field, used, quoted)
                     if not (values or choice):
                         break  # nothing but delimiters and markup
-                    if (key := tuple(values)) in seen or not values:
-                        continue
-                    seen.add(key)
-                    rows.append((field, choice, len(used) + (not quoted), values))
-            yield pd.DataFrame(rows, columns=["field", "choice", "used", "values"])
+                    if values:
+                        found.setdefault(tuple(values), (choice, len(used) + (not quoted), values))
+                rows += [(field, weight, len(found) > 1, *r) for r in found.values()]
+            yield pd.DataFrame(rows, columns=["field", "weight", "several", "choice", "used", "values"])
 
-    return fields.mapInPandas(read, "field string, choice int, used int, values array<string>")
+    return fields.mapInPandas(read, "field string, weight long, several boolean, choice int, used int, values array<string>")
 
 
 def unpacked(df: DataFrame, key: str, packed: str, delimiters: str = DELIMITERS, rounds: int = 1) -> DataFrame:
@@ -98,11 +100,10 @@ def unpacked(df: DataFrame, key: str, packed: str, delimiters: str = DELIMITERS,
     any length is one value at least; the number of readings is bounded by the delimiters, not by the field.
     """
     rows = df.select(F.col(key).alias("key"), F.col(packed).alias("field")).where(F.col("field").isNotNull()).distinct()
-    readings = _readings(rows.groupBy("field").agg(F.count("*").alias("n")).select("field"), delimiters)
-    weights = rows.groupBy("field").agg(F.count("*").alias("weight"))
-    chosen = readings.where(F.col("choice") == 0).select("field", "values")
+    readings = written(_readings(rows.groupBy("field").agg(F.count("*").alias("weight")), delimiters), "readings")
+    chosen = readings.where(F.col("choice") == 0)
     for _ in range(rounds):
-        chosen = _cheapest(readings, _code(chosen.join(weights, "field")))
+        chosen = _cheapest(readings, _code(chosen))
     return rows.join(chosen, "field").select(F.col("key").alias(key), F.posexplode("values").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -119,13 +120,11 @@ def _cheapest(readings: DataFrame, code: DataFrame) -> DataFrame:
 
     Fields with one reading need no bits and are not joined with the code.
     """
-    ranked = readings.groupBy("field").agg(F.count("*").alias("readings"))
-    several = readings.join(ranked.where(F.col("readings") > 1).select("field"), "field", "left_semi")
-    single = readings.join(ranked.where(F.col("readings") == 1).select("field"), "field", "left_semi").select("field", "values")
+    several, single = readings.where("several"), readings.where("not several").select("field", "weight", "values")
     escape = code.where(F.col("value").isNull()).select(F.col("bits").alias("escape"))
     parts = several.select("field", "choice", "used", F.explode("values").alias("value"))
     spelled = F.col("escape") + F.length("value") * CHARACTER_BITS
     cost = parts.join(code.where(F.col("value").isNotNull()), "value", "left").crossJoin(F.broadcast(escape)).groupBy("field", "choice", "used").agg(
         F.sum(F.coalesce("bits", spelled)).alias("bits"))
     best = cost.groupBy("field").agg(F.min(F.struct(F.round(F.col("bits") + F.col("used"), 6).alias("bits"), "choice")).alias("b")).select("field", F.col("b.choice").alias("choice"))
-    return several.join(best, ["field", "choice"]).select("field", "values").unionByName(single)
+    return several.join(best, ["field", "choice"]).select("field", "weight", "values").unionByName(single)
