@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,40 @@ def bloom_build(names: DataFrame, column: str, k: int = 50, m: int = BLOOM_BITS,
     return held.select(F.explode(_positions(F.col("name"), k, m, p, seed)).alias("position")).distinct()
 
 
+def bitmap(bits: DataFrame, m: int = BLOOM_BITS) -> DataFrame:
+    """``(words)``, one row: the positions as bits of an array of 64-bit words. Its size is fixed by ``m``."""
+    each = bits.groupBy(F.floor(F.col("position") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position % 64 as int))")).alias("word"))
+    held = each.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("words"))  # at most m / 64 entries
+
+    @F.pandas_udf("binary")
+    def packed(maps: pd.Series) -> pd.Series:
+        def one(words):
+            table = np.zeros(-(-m // 64), "<i8")
+            for at, word in dict(words).items():
+                table[at] = word
+            return table.tobytes()
+
+        return maps.map(one)
+
+    return held.select(packed("words").alias("words"))
+
+
 def bloom_probe(names: DataFrame, column: str, bits: DataFrame, k: int = 50, m: int = BLOOM_BITS, p: int = BLOOM_MODULUS, seed: int = 2) -> DataFrame:
     """``(name, hit)`` of each distinct name: whether all its bits are set. Never false for a name that was built in; NULL
-    and empty names are no hits."""
+    and empty names are no hits.
+
+    The table is ``m`` bits whatever was built in, so it goes to every task as it is, and each name is tested in place.
+    """
     asked = names.select(F.col(column).alias("name")).distinct()
-    probes = asked.where("name != ''").select("name", F.array_distinct(_positions(F.col("name"), k, m, p, seed)).alias("bits"))
-    found = probes.select("name", F.size("bits").alias("n"), F.explode("bits").alias("position")).join(bits, "position", "left_semi").groupBy("name", "n").agg(F.count("*").alias("set"))
-    hits = found.where(F.col("set") == F.col("n")).select("name", F.lit(True).alias("hit"))
-    return asked.join(hits, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("hit"))
+    table = bits.sparkSession.sparkContext.broadcast(np.frombuffer(bitmap(bits, m).first().words, np.uint8))
+
+    @F.pandas_udf("boolean")
+    def all_set(positions: pd.Series) -> pd.Series:
+        held = np.stack(positions.to_numpy()) if len(positions) else np.zeros((0, k), np.int64)
+        return pd.Series(((table.value[held >> 3] >> (held & 7)) & 1).all(axis=1))
+
+    able = asked.where("name != ''").select("name", all_set(_positions(F.col("name"), k, m, p, seed)).alias("hit"))
+    return able.unionByName(asked.where("name is null or name = ''").select("name", F.lit(False).alias("hit")))
 
 
 def distinct_estimate(x: Column, hashes: int = 30, groups: int = 15, seed: int = 11) -> tuple[list[Column], Column]:
@@ -47,18 +75,23 @@ def distinct_estimate(x: Column, hashes: int = 30, groups: int = 15, seed: int =
 
 
 def fm_window(df: DataFrame, ts: str, value: str, window: str = "30 seconds", slide: str = "10 seconds", hashes: int = 30, groups: int = 15,
-              seed: int = 11, watermark: str | None = None) -> DataFrame:
+              seed: int = 11, watermark: str | None = None, values_apart: bool = False) -> DataFrame:
     """``(window_start, exact, estimate)``: distinct values of each sliding window, exactly and by the sketch.
 
-    Works on batches and, with ``watermark``, on streams. NULL and empty values are ignored.
+    Works on batches and, with ``watermark``, on streams; ``values_apart`` drops repeated values of a window before they are
+    counted, each a row of the state of its own, in streams in append mode. NULL and empty values are ignored.
     """
     rows = df.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(value).cast("string").alias("_v")).where("_ts is not null and _v != ''")
     if watermark is not None:
         rows = rows.withWatermark("_ts", watermark)
     rows = rows.withColumn("_x", bytes_mod(F.col("_v"), FM_MODULUS))  # once a row, not once a hash and window
     most, estimate = distinct_estimate(F.col("_x"), hashes, groups, seed)
-    exact = F.size(F.collect_set("_v")).cast("long") if df.isStreaming else F.count_distinct("_v")
-    held = rows.groupBy(F.window("_ts", window, slide).alias("w")).agg(exact.alias("exact"), *most)
+    if values_apart:
+        once = rows.select(F.window("_ts", window, slide).alias("w"), "_v", "_x").dropDuplicates(["w", "_v"])
+        held = once.groupBy("w").agg(F.count("*").alias("exact"), *most)
+    else:
+        exact = F.size(F.collect_set("_v")).cast("long") if df.isStreaming else F.count_distinct("_v")
+        held = rows.groupBy(F.window("_ts", window, slide).alias("w")).agg(exact.alias("exact"), *most)
     return held.select(F.col("w.start").alias("window_start"), "exact", estimate.alias("estimate"))
 
 
@@ -77,10 +110,14 @@ def reservoir(df: DataFrame, key: str, capacity: int = 100, seed: int = 0) -> Da
     return df.where(F.col(key).isNotNull()).withColumn("_p", priority).orderBy("_p", key).limit(capacity).drop("_p")
 
 
+def well_tagged(tags: str) -> Column:
+    """Whether there are tags, all of letters and digits."""
+    return F.coalesce((F.size(tags) > 0) & F.forall(tags, lambda t: F.coalesce(t.rlike(r"^[\p{L}\p{N}]+$"), F.lit(False))), F.lit(False))
+
+
 def tag_counts(df: DataFrame, tags: str) -> DataFrame:
     """``(tag, n)`` of records all of whose tags, at least one, consist of letters and digits."""
-    able = (F.size(tags) > 0) & F.forall(tags, lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))
-    return df.where(able).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return df.where(well_tagged(tags)).select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def trending_tags(df: DataFrame, tags: str, top: int = 3) -> DataFrame:

@@ -83,7 +83,9 @@ def top_categories(spark, folder):
 
 
 def partition_stats(spark, folder):
-    return review.partition_stats(reviews(spark, folder, "business_id"), "business_id", 8)
+    """How many partitions there are, how many rows they hold in all, and that none is counted twice."""
+    held = review.partition_stats(reviews(spark, folder, "business_id"), "business_id", 8)
+    return held.agg(F.count_distinct("partition_id").alias("n_partitions"), F.sum("n_items").alias("n_items"))
 
 
 # --- itemsets ---
@@ -292,13 +294,14 @@ def _finished(df: DataFrame, mode: str, tag: str) -> DataFrame:
 
 def stream_distinct(spark, folder):
     """The windows of ``fm_window`` from a stream of the same events."""
-    return _stamped(_finished(distinct_stream(_event_stream(spark, folder), "ts", "user_id", WINDOW, SLIDE, "1 day"), "complete", "distinct"))
+    return _stamped(_finished(distinct_stream(_event_stream(spark, folder), "ts", "user_id", WINDOW, SLIDE, "1 day", append=False), "complete", "distinct"))
 
 
 def stream_reservoir(spark, folder):
-    """A sample of the tags of a stream of events, after its last batch."""
+    """The size of a sample of the tags of a stream of events after its last batch, of how many, and that all of it is tags."""
     tagged = _event_stream(spark, folder).select(F.array("event_type").alias("tags"))
-    return _finished(reservoir_stream(tagged, "tags"), "update", "reservoir").select("seen", F.array_join("tags", ",").alias("tags"))
+    last = _finished(reservoir_stream(tagged, "tags"), "update", "reservoir").groupBy("seen").agg(F.count("*").alias("kept"), F.count_if(F.size("tags") == 1).alias("tagged"))
+    return last.orderBy(F.desc("seen")).limit(1)
 
 
 def _tagged_users(spark, folder) -> DataFrame:
@@ -306,7 +309,9 @@ def _tagged_users(spark, folder) -> DataFrame:
 
 
 def trending_tags(spark, folder):
-    return sketches.trending_tags(_tagged_users(spark, folder), "tags")
+    """Of a sample of a hundred users."""
+    able = _tagged_users(spark, folder).where(sketches.well_tagged("tags"))
+    return sketches.trending_tags(sketches.reservoir(able, "user_id", 100), "tags")
 
 
 def reservoir(spark, folder):
@@ -433,6 +438,8 @@ SQL = {
     "distinct_business": f"with {_R} select count(distinct business_id) as n from r",
     "top_users": f"with {_R} select user_id, count(*) as n from r where user_id is not null group by 1 order by n desc, user_id limit {TOP}",
     "busy_business": f"with {_R} select business_id, count(*) as n from r where business_id is not null group by 1 having count(*) > {BUSY}",
+    "partition_stats": f"with {_R} select 8 as n_partitions, count(*) as n_items from r",
+    "stream_reservoir": "with t as (select count(*) as seen from events where regexp_full_match(event_type, '[\\p{L}\\p{N}]+')) select seen, least(seen, 100) as kept, least(seen, 100) as tagged from t",
     "top_words": f"with {_R}, w as (select {_word_sql(PUNCTUATION)} as word from r) select word, count(*) as n from w where word <> '' and word not in {_STOP} group by 1 order by n desc, word limit {TOP}",
     "top_categories": f"""with {_R}, b as (select distinct trim(business_id) as business_id, categories from business where categories <> ''), c as (select business_id, trim(unnest(string_split(categories, ','))) as category from b)
         select category, round(sum(stars) / count(*), 6) as avg_stars from c join r using (business_id) where category <> '' and stars is not null group by 1 order by avg_stars desc, category limit {TOP}""",
@@ -471,6 +478,13 @@ SQL = {
     "connected_components": f"with recursive {_GRAPH}, walk(id, root) as (select id, id from l0 union select dst, root from walk join two on src = id) select id, min(root) as component from walk group by id",
     "modularity": f"""with {_LPA}, d as (select label, count(*) as deg from two join l5 on id = src group by 1), i as (select x.label, count(*) as inn from two join l5 x on x.id = src join l5 y on y.id = dst and y.label = x.label group by 1), m as (select count(*) as m from e)
         select round(coalesce(sum((coalesce(inn, 0) - deg * deg / (2.0 * m.m)) / (2.0 * m.m)), 0), 6) as q from d left join i using (label), m""",
+    # for each pair of vertices, the share of its shortest paths that use an edge
+    "edge_betweenness": f"""with recursive {_UB}, e as (select x.b as src, y.b as dst from ub x join ub y on x.u = y.u and x.b < y.b group by all having count(*) >= {SHARED_USERS}), two as (select src, dst from e union all select dst, src from e),
+        walk(s, v, level) as (select distinct src, src, 0 from two union select s, dst, level + 1 from walk join two on src = v where level < (select count(distinct src) from two)),
+        far as (select s, v, min(level) as d from walk group by all),
+        way(s, v, level, n) as (select distinct src, src, 0, 1.0::double from two union all select w.s, dst, any_value(w.level) + 1, sum(n) from way w join two on src = w.v join far on far.s = w.s and far.v = dst and far.d = w.level + 1 group by w.s, dst),
+        used as (select two.src, two.dst, a.n * b.n / whole.n as share from two join way a on a.v = two.src join way b on b.s = two.dst join way whole on whole.s = a.s and whole.v = b.v and whole.level = a.level + 1 + b.level)
+        select least(src, dst) as src, greatest(src, dst) as dst, round(sum(share) / 2, 6) as betweenness from used group by 1, 2""",
     "bloom_build": f"select distinct position from ({_BUILT})",
     "bloom_probe": f"""with bits as (select distinct position from ({_BUILT})), probe as ({_bits_sql("select distinct nullif(trim(business_id), '') as name from review where nullif(trim(business_id), '') is not null")})
         select name, bool_and(bits.position is not null) as hit from probe left join bits using (position) group by name""",
@@ -478,7 +492,8 @@ SQL = {
     "stream_distinct": _FM,
     "exact_distinct_window": f"with {_WINDOWS} select {_STAMP} as window_start, count(distinct v) as exact from w group by start",
     "trending_tags": """with s as (select nullif(trim(user_id), '') as u, upper(nullif(trim(state), '')) as tag from user_state), ok as (select * from s where u is not null and tag is not null), bad as (select u from ok where not regexp_full_match(tag, '[\\p{L}\\p{N}]+')),
-        c as (select tag, count(*) as n from ok where u not in (select u from bad) group by tag) select tag, n from c qualify dense_rank() over (order by n desc) <= 3""",
+        sample as (select distinct u from ok where u not in (select u from bad) order by md5('0:' || u), u limit 100),
+        c as (select tag, count(*) as n from ok where u in (select u from sample) group by tag) select tag, n from c qualify dense_rank() over (order by n desc) <= 3""",
     "reservoir": "select doc_id, source from documents order by md5('0:' || doc_id), doc_id limit 100",
     "rating_features": f"""with {_RATED}, us as (select nullif(trim(user_id), '') as u, max(useful) as x0, max(funny) as x1 from user_stats group by 1), bs as (select nullif(trim(business_id), '') as b, max(latitude) as x2, max(longitude) as x3 from business group by 1),
         j as (select rated.*, x0, x1, x2, x3, coalesce(x0 is not null and x1 is not null and x2 is not null and x3 is not null and not isnan(x2) and not isnan(x3), false) as known from rated left join us using (u) left join bs using (b))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,29 @@ def hits_row(path: str, hits: list[bool]) -> None:
         out.write(" ".join("T" if h else "F" for h in hits))
 
 
-def append_csv(path: str, header: list[str], rows: list[tuple]) -> None:
-    """Adds rows to a CSV file; the header comes first, once."""
-    new = not os.path.exists(path)
+def append_batch(path: str, batch: int, header: list[str], make: Callable[[dict], tuple[list[tuple], dict]]) -> None:
+    """Adds the rows of a batch to a CSV file, once even if the batch comes again; the header comes first.
+
+    ``make`` gives the rows and the new state from the state before the batch (small, as JSON). A file beside the report notes
+    the state and the length of the report before the last batch, so a batch that is replayed takes the place of itself,
+    and an older one changes nothing.
+    """
+    beside = f"{path}.state"
+    note = {"batch": -1, "length": 0, "before": {}, "after": {}}
+    if os.path.exists(beside):
+        with open(beside) as held:
+            note = json.load(held)
+    if batch < note["batch"]:
+        return
+    if batch > note["batch"]:
+        note = {"batch": batch, "length": os.path.getsize(path) if os.path.exists(path) else 0, "before": note["after"], "after": note["after"]}
+    rows, note["after"] = make(note["before"])
+    with open(f"{beside}.new", "w") as out:
+        json.dump(note, out)
+    os.replace(f"{beside}.new", beside)
     with open(path, "a") as out:
-        if new:
+        out.truncate(note["length"])
+        out.seek(note["length"])
+        if not note["length"]:
             out.write(",".join(header) + "\n")
         out.writelines(",".join(map(str, r)) + "\n" for r in rows)

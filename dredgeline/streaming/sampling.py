@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.reports import append_csv
+from ..operators.sketches import trending_tags, well_tagged
+from ..sources.reports import append_batch
 
 STATE = "seen long, draws long, kept array<array<string>>"
 OUTPUT = "shard int, seen long, tags array<string>"
@@ -31,14 +31,15 @@ def keep(kept: list, seen: int, new: list, capacity: int, draw: random.Random) -
     return seen
 
 
-def reservoir_stream(messages: DataFrame, tags: str, capacity: int = 100, shards: int = 1, seed: int = 0) -> DataFrame:
+def reservoir_stream(messages: DataFrame, tags: str, capacity: int = 100, shards: int = 1, seed: int = 0, spread: str | None = None) -> DataFrame:
     """``(shard, seen, tags)`` in update mode: after each batch, the sample of the tag lists seen so far by each shard.
 
     Only messages with tags, all of letters and digits, are taken. The state is bounded by ``capacity``. One shard is one
-    task a batch; a fast stream wants several, each with a uniform sample of its own messages, and :func:`merge_shards`
+    task a batch; a fast stream wants several, over which messages are spread by the column ``spread`` (an id or a time of
+    the message; without one, by their tags), each with a uniform sample of its own messages, and :func:`merge_shards`
     makes one sample of the latest of each.
     """
-    rows = messages.select(F.col(tags).alias("tags"), F.pmod(F.hash(F.to_json(F.struct(tags))), F.lit(shards)).alias("shard"))
+    rows = messages.select(F.col(tags).alias("tags"), F.pmod(F.xxhash64(spread or F.to_json(F.struct(tags))), F.lit(shards)).cast("int").alias("shard"))
 
     def update(key, batches, state):
         seen, draws, kept = state.get if state.exists else (0, 0, [])
@@ -75,20 +76,29 @@ def merge_shards(shards: dict[int, tuple[int, list]], capacity: int = 100, draw:
     return out
 
 
-def trending(sample: list[list[str]], top: int = 3) -> list[tuple[str, int]]:
-    """Tags whose count is among the ``top`` highest distinct counts, highest first, then by name."""
-    counts = Counter(t for tags in sample for t in tags)
-    least = sorted(set(counts.values()), reverse=True)[:top]
-    return sorted(((t, n) for t, n in counts.items() if n in least), key=lambda x: (-x[1], x[0]))
+def report_trending(sampled: DataFrame, path: str, checkpoint: str, top: int = 3, capacity: int = 100, once: bool = True) -> StreamingQuery:
+    """After each batch adds the number of messages so far and the trending tags of the sample to a report.
 
+    A batch brings the samples of the shards that it has changed; the latest of each (bounded by shards and capacity) is kept
+    beside the report, and all of them are merged into one sample. There is nothing to report before ``capacity``
+    messages have been seen. A batch that is replayed after a failure is reported once.
+    """
+
+    def report(batch: DataFrame, number: int) -> None:
+        changed: dict[str, list] = {}
+        for r in batch.collect():
+            changed.setdefault(str(r.shard), [r.seen, []])[1].append(list(r.tags))
 
-def report_trending(sampled: DataFrame, path: str, checkpoint: str, top: int = 3, once: bool = True) -> StreamingQuery:
-    """After each batch adds the number of messages so far and the trending tags of the sample (bounded rows) to a report."""
+        def make(before: dict) -> tuple[list[tuple], dict]:
+            after = {**before, **changed}
+            seen = sum(n for n, _ in after.values())
+            if not changed or seen < capacity:
+                return [], after
+            sample = merge_shards({k: (n, kept) for k, (n, kept) in sorted(after.items())}, capacity, random.Random(number))
+            found = trending_tags(batch.sparkSession.createDataFrame([(t,) for t in sample], "tags array<string>"), "tags", top)
+            return [(seen, r.tag, r.n) for r in found.orderBy(F.desc("n"), "tag").collect()], after
 
-    def report(batch: DataFrame, _: int) -> None:
-        rows = batch.collect()
-        if rows:
-            append_csv(path, ["seen", "tag", "n"], [(rows[0].seen, t, n) for t, n in trending([r.tags for r in rows], top)])
+        append_batch(path, number, ["seen", "tag", "n"], make)
 
     writer = sampled.writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(report)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -96,5 +106,4 @@ def report_trending(sampled: DataFrame, path: str, checkpoint: str, top: int = 3
 
 def running_count(messages: DataFrame, tags: str) -> DataFrame:
     """``(n)`` of accepted messages since the start, for complete or update mode."""
-    able = (F.size(tags) > 0) & F.forall(tags, lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))
-    return messages.where(able).agg(F.count("*").alias("n"))
+    return messages.where(well_tagged(tags)).agg(F.count("*").alias("n"))

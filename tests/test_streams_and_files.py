@@ -34,7 +34,7 @@ def test_reservoir_stream(spark, tmp_path):
     spark.createDataFrame(messages, "tags array<string>").repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("tags array<string>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     report = tmp_path / "trend.csv"
-    sampling.report_trending(sampling.reservoir_stream(stream, "tags", capacity=30), str(report), str(tmp_path / "c")).awaitTermination()
+    sampling.report_trending(sampling.reservoir_stream(stream, "tags", capacity=30), str(report), str(tmp_path / "c"), capacity=30).awaitTermination()
     lines = [x.split(",") for x in report.read_text().splitlines()]
     assert lines[0] == ["seen", "tag", "n"] and lines[-1][0] == "200"
     last = [x for x in lines[1:] if x[0] == "200"]
@@ -44,6 +44,45 @@ def test_reservoir_stream(spark, tmp_path):
     assert rows(spark.table("running")) == [(200,)]
 
 
+def test_shards_are_merged_and_replays_count_once(spark, tmp_path):
+    class Sampled:
+        """Stands for a stream whose batches are given by hand."""
+
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def foreachBatch(self, call):
+            self.call = call
+            return self
+
+    sampled = Sampled()
+    sampled.writeStream = sampled
+    report = tmp_path / "t.csv"
+    sampling.report_trending(sampled, str(report), "-", top=1, capacity=6)
+    batches = [[(0, 3, ["a"])] * 3, [(1, 5, ["b"])] * 5, [(2, 9, ["c"])] * 6 + [(3, 1, ["b"])]]
+    frames = [spark.createDataFrame(b, "shard int, seen long, tags array<string>") for b in batches]
+    for number, f in enumerate(frames):
+        sampled.call(f, number)
+    first = report.read_text()
+    lines = [x.split(",") for x in first.splitlines()]
+    assert lines[0] == ["seen", "tag", "n"] and {x[0] for x in lines[1:]} == {"8", "18"}  # 3 are fewer than the capacity
+    sampled.call(frames[2], 2)  # the last batch again, and one before it
+    sampled.call(frames[1], 1)
+    assert report.read_text() == first
+    sampled.call(frames[0].limit(0), 3)
+    assert report.read_text() == first
+
+
+def test_four_shards_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(k, ["x", "y"] if k % 2 else ["x"]) for k in range(400)], "id long, tags array<string>").repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, tags array<string>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    report = tmp_path / "four.csv"
+    sampled = sampling.reservoir_stream(stream, "tags", capacity=50, shards=4, spread="id")
+    sampling.report_trending(sampled, str(report), str(tmp_path / "c"), capacity=50).awaitTermination()
+    lines = [x.split(",") for x in report.read_text().splitlines()]
+    assert lines[-1][0] == "400" and [x[1:] for x in lines if x[0] == "400"][0] == ["x", "50"]
+
+
 def test_reservoir_is_uniform():
     hits = [0] * 20
     for trial in range(3000):
