@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,12 +135,12 @@ def trending(spark, host, port, out, checkpoint):
 
 def rate_train(spark, reviews, users, business, model):
     features = regression.rating_features(recommend.ratings(_reviews(spark, reviews)), files.json_lines(spark, users, USERS), files.json_lines(spark, business, BUSINESS))
-    regression.fit_ratings(features).write().overwrite().save(model)
+    regression.fit_ratings(features).save(spark, model)
 
 
 def rate_predict(spark, pairs, users, business, model, out):
     features = regression.rating_features(files.json_lines(spark, pairs, PAIRS), files.json_lines(spark, users, USERS), files.json_lines(spark, business, BUSINESS))
-    reports.json_lines(regression.predict_ratings(PipelineModel.load(model), features), out)
+    reports.json_lines(regression.predict_ratings(regression.Trees.load(spark, model), features), out)
 
 
 COMMANDS = {

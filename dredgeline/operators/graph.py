@@ -81,31 +81,50 @@ def connected_components(v: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def shortest_paths(v: DataFrame, e: DataFrame) -> DataFrame:
-    """``(root, node, level, paths)``: distance and number of shortest paths from every vertex to every vertex it reaches.
+    """``(root, node, level, paths)``: distance and number of shortest paths from every vertex ``v`` to every vertex it reaches.
 
-    One frontier join a level, for all roots at once.
+    One frontier join a level, for all roots at once. A neighbour of a vertex at some level is at that level or one beside
+    it, so a frontier is compared with the last two only.
     """
-    links = written(both_ways(e), "links")
-    front = v.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("paths"))
-    front = written(front, "front")
-    seen = front
-    level = 0
+    return _levels(v, written(both_ways(e), "links"))
+
+
+def _levels(v: DataFrame, links: DataFrame) -> DataFrame:
+    front = written(v.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("paths")), "front")
+    seen, before, level = front, front.limit(0), 0
     while not front.isEmpty():
         level += 1
         reached = front.select("root", F.col("node").alias("src"), "paths").join(links, "src").groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = written(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "paths"), "front")
+        known = front.select("root", "node").unionByName(before.select("root", "node"))
+        before = front
+        front = written(reached.join(known, ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "paths"), "front")
         seen = seen.unionByName(front)
     return seen
 
 
-def edge_betweenness(v: DataFrame, e: DataFrame) -> DataFrame:
+def edge_betweenness(v: DataFrame, e: DataFrame, block_rows: int = 2_000_000_000) -> DataFrame:
     """``(src, dst, betweenness)``: over all pairs of vertices, the share of their shortest paths that use the edge.
 
-    Credits flow back from the deepest level, for all roots at once: a vertex has 1 and what its children give, and
-    gives it to its parents by their numbers of paths.
+    Credits flow back from the deepest level, for many roots at once: a vertex has 1 and what its children give, and
+    gives it to its parents by their numbers of paths. Roots are taken in as many blocks as keep the rows of a block (roots
+    times edges at most) below ``block_rows``, so what is held at a time does not grow with the square of the graph.
     """
     links = written(both_ways(e), "links")
-    reach = written(shortest_paths(v, e), "paths")
+    roots = written(v.select("id"), "roots")
+    blocks = max(1, -(-roots.count() * links.count() // block_rows))
+    shares = None
+    for k in range(blocks):
+        of = _credits(roots.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), links)
+        if of is not None:
+            shares = of if shares is None else shares.unionByName(of)
+    if shares is None:
+        return e.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
+    return shares.groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
+
+
+def _credits(roots: DataFrame, links: DataFrame) -> DataFrame | None:
+    """``(src, dst, credit)`` summed over some roots; None if they reach nothing."""
+    reach = written(_levels(roots, links), "paths")
     deepest = reach.agg(F.max("level")).first()[0] or 0
     child = reach.select("root", F.col("node").alias("child"), "level", F.col("paths").alias("child_paths"))
     parent = reach.select("root", F.col("node").alias("parent"), (F.col("level") + 1).alias("level"), "paths")
@@ -121,8 +140,8 @@ def edge_betweenness(v: DataFrame, e: DataFrame) -> DataFrame:
         below = written(here.select("root", "child", "parent", (F.col("weight") * F.col("paths") / F.col("child_paths")).alias("credit")), "credit")
         shares = below if shares is None else shares.unionByName(below)
     if shares is None:
-        return e.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
-    return shares.groupBy(F.least("child", "parent").alias("src"), F.greatest("child", "parent").alias("dst")).agg((F.sum("credit") / 2).alias("betweenness"))
+        return None
+    return written(shares.groupBy(F.least("child", "parent").alias("src"), F.greatest("child", "parent").alias("dst")).agg(F.sum("credit").alias("credit")), "shares")
 
 
 def modularity(e: DataFrame, communities: DataFrame, m: int | None = None, denominator: str = "2m") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 from .pairs import shared_counts
 from .similarity import dense_index, lsh_candidates, minhash
 
@@ -61,11 +62,13 @@ def user_cf_model(rated: DataFrame, min_corated: int = 3, min_jaccard: float = 0
     raters = rated.groupBy("business_id").count().where(F.col("count") >= min_corated).select("business_id")
     able = rated.join(raters, "business_id", "left_semi")
     active = able.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_corated)
-    able = able.join(active.select("user_id"), "user_id", "left_semi")
+    able = written(able.join(active.select("user_id"), "user_id", "left_semi"), "able")  # read many times below
+    active = able.groupBy("user_id").agg(F.count("*").alias("n"))
     pairs = shared_counts(able, "user_id", "business_id", min_corated)
     sizes = [active.select(F.col("user_id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab"]
     pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.col("shared") >= min_jaccard * (F.col("na") + F.col("nb") - F.col("shared")))
     if lsh:
+        pairs = written(pairs, "user-pairs")
         indexed = able.join(dense_index(able, "business_id"), "business_id")
         sigs = minhash(indexed, "user_id", "idx", p=23_333_333_333, coefficient_bound=999_999)
         sa, sb = (sigs.select(F.col("user_id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")

@@ -44,7 +44,7 @@ def lsh_candidates(signatures: DataFrame, record: str, bands: int = 30) -> DataF
 
     Records of equal signatures meet once, as one; every pair of records is then made from the pairs of signatures.
     """
-    named = signatures.select(F.col(record).alias("id"), "sig")
+    named = written(signatures.select(F.col(record).alias("id"), "sig"), "signatures")
     classes = named.groupBy("sig").agg(F.min("id").alias("rep"))
     members = named.join(classes, "sig").select("id", "rep")
     rows = F.ceil(F.size("sig") / bands).cast("int")

@@ -166,15 +166,23 @@ def business_profile(spark, folder):
     return profiles.business_profile(_scores(spark, folder))
 
 
+def _indexed_profiles(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Business profiles by the numbers of words, and the words."""
+    made = written(profiles.business_profile(_scores(spark, folder)), "profiles")
+    index = written(profiles.word_index(made), "word-index")
+    return written(profiles.indexed(made, index), "indexed-profiles"), index
+
+
 def user_profile(spark, folder):
-    held = profiles.user_profile(user_business(spark, folder), profiles.business_profile(_scores(spark, folder)))
-    return held.groupBy("user_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("word")), " ")).alias("words_md5"))
+    business, index = _indexed_profiles(spark, folder)
+    held = profiles.user_profile(user_business(spark, folder), business).join(index.select(F.col("idx").alias("word"), F.col("word").alias("said")), "word")
+    return held.groupBy("user_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("said")), " ")).alias("words_md5"))
 
 
 def cosine_score(spark, folder):
-    business = written(profiles.business_profile(_scores(spark, folder)), "profiles")
+    business, _ = _indexed_profiles(spark, folder)
     asked = _asked(spark, folder)
-    of_users = profiles.user_profile(user_business(spark, folder).join(asked.select("user_id").distinct(), "user_id", "left_semi"), business)
+    of_users = written(profiles.user_profile(user_business(spark, folder).join(asked.select("user_id").distinct(), "user_id", "left_semi"), business), "user-profiles")
     return profiles.cosine_score(asked, of_users, business).withColumn("sim", F.round("sim", 6))
 
 

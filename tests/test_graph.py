@@ -46,6 +46,7 @@ def test_barbell(spark):
     e = edges(spark, BARBELL)
     got = {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(graph.vertices(e), e).collect()}
     assert got == {"cd": 9, "ac": 4, "bc": 4, "de": 4, "df": 4, "ab": 1, "ef": 1}
+    assert {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(graph.vertices(e), e, 40).collect()} == got  # roots in three blocks
     assert divided(e) == ([["a", "b", "c"], ["d", "e", "f"]], round(24 / 49, 6))
     assert divided(e, "m")[1] == round(6 / 49, 6)
     labels = dict(map(tuple, graph.label_propagation(graph.vertices(e), e).collect()))

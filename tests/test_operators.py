@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,7 +232,7 @@ def test_regression(spark):
     rated = spark.createDataFrame([(f"u{draw.randrange(20)}", f"b{k % 20}", float(1 + k % 5)) for k in range(200)] + [("n", "b1", 3.0), ("u1", "bad", 2.0), ("none", "b1", 1.0)], "user_id string, business_id string, stars double")
     features = regression.rating_features(rated, users, places)
     assert features.count() == 203 and features.where("user_id in ('n', 'none') or business_id = 'bad'").where("x0 + x1 + x2 + x3 != 0").count() == 0
-    model = regression.fit_ratings(features, max_iter=5)
+    model = regression.fit_ratings(features, 200)
     made = regression.predict_ratings(model, features)
     error = made.join(features, ["user_id", "business_id"]).selectExpr("avg((stars - y) * (stars - y))").first()[0]
     base = features.selectExpr("var_pop(y)").first()[0]
@@ -239,6 +241,26 @@ def test_regression(spark):
         regression.rating_features(rated, users, places, "error").collect()
 
 
+def test_trees(spark, tmp_path):
+    """The sum over rows equals that over cells, a held-out error far below the spread, and a model that is saved whole."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (3000, 4))
+    y = 3 + np.where(x[:, 0] > 0.2, 1.5, -0.5) * np.where(x[:, 2] > -0.3, 1, -1) + 0.1 * rng.normal(size=3000)
+    df = spark.createDataFrame(pd.DataFrame({"user_id": np.arange(3000).astype(str), "business_id": "b", **{f"x{k}": x[:, k] for k in range(4)}, "y": y}))
+    model = regression.fit_ratings(df.where("cast(user_id as int) < 2000"), 300, 0.05)
+    held = df.where("cast(user_id as int) >= 2000")
+    made = regression.predict_ratings(model, held.drop("y"))
+    error = made.join(held, ["user_id", "business_id"]).selectExpr("sqrt(avg(pow(stars - y, 2)))").first()[0]
+    assert made.count() == 1000 and error < 0.3 < np.std(y) / 3
+    model.save(spark, str(tmp_path / "m"))
+    again = regression.Trees.load(spark, str(tmp_path / "m"))
+    assert rows(regression.predict_ratings(again, held)) == rows(made)
+    nothing = regression.fit_ratings(df.limit(0))
+    assert regression.predict_ratings(nothing, held).select("stars").distinct().collect()[0].stars == 0.0
+    one = next(regression.boosted(np.array([[0], [1], [2]]), np.array([2, 1, 4]), np.array([2.0, 5.0, 20.0]), 0.0, 3, 1, 1.0, 2, 1.0, 1.0, 0.0, rng))
+    assert sorted(set(one[2])) == [0.0, 1.0, 5.0]  # leaves hold the means
+
+
 def test_hot_keys(spark):
     df = spark.createDataFrame([("hot", k) for k in range(500)] + [(f"k{k}", k) for k in range(100)] + [(None, 0)] * 50, "key string, v int")
     hot = skew.hot_keys(df, "key", shares=8, floor=50)
