@@ -119,7 +119,7 @@ def bloom(spark, first, second, out):
     asked = files.json_lines(spark, second, "name string").withColumn("at", F.monotonically_increasing_id())
     hits = sketches.bloom_probe(asked, "name", bits)
     ordered = asked.join(hits, asked["name"].eqNullSafe(hits["name"])).orderBy("at").select("hit")
-    reports.hits_row(out, [r.hit for r in ordered.toLocalIterator()])
+    reports.hits_row(out, (r.hit for r in ordered.toLocalIterator()))
 
 
 def stream_distinct(spark, host, port, out, checkpoint):

@@ -1,6 +1,6 @@
 """All queries of the core, by name, and their SQL."""
 
-from . import mining, places
+from . import files, mining, places
 
-QUERIES: dict = {**mining.QUERIES, **places.QUERIES}
-SQL: dict = {**mining.SQL, **places.SQL}
+QUERIES: dict = {**mining.QUERIES, **files.QUERIES, **places.QUERIES}
+SQL: dict = {**mining.SQL, **files.SQL, **places.SQL}

@@ -16,8 +16,15 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 
 def csv_pairs(spark: SparkSession, path: str, swap: bool = False) -> DataFrame:
-    """``(basket, item)`` from the first two columns of a CSV file with a header; ``swap`` takes the second as the basket."""
+    """``(basket, item)`` from the first two columns of CSV files with a header; ``swap`` takes the second as the basket.
+
+    A header is what the first line says, so copies of it within the rows, as in files that were put together, go too.
+    """
+    header = spark.read.text(path).limit(1).collect()
     rows = spark.read.option("header", True).option("enforceSchema", True).schema("a string, b string").csv(path)
+    if header and header[0].value.count(",") >= 1:
+        a, b = (c.strip().strip('"') for c in header[0].value.split(",")[:2])
+        rows = rows.where(~(F.col("a").eqNullSafe(a) & F.col("b").eqNullSafe(b)))
     a, b = ("b", "a") if swap else ("a", "b")
     return rows.select(F.col(a).alias("basket"), F.col(b).alias("item"))
 

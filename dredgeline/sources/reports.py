@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +63,20 @@ def text(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def hits_row(path: str, hits: list[bool]) -> None:
-    """One line of T and F, separated by spaces."""
+def tagged(parts: dict[str, DataFrame], path: str) -> None:
+    """Rows of several kinds as JSON lines in one place, told apart by their field ``type``."""
+    whole = None
+    for kind, df in parts.items():
+        rows = df.withColumn("type", F.lit(kind))
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
+    json_lines(whole, path)
+
+
+def hits_row(path: str, hits: Iterable[bool]) -> None:
+    """One line of T and F, separated by spaces; ``hits`` may come one by one."""
     with open(path, "w") as out:
-        out.write(" ".join("T" if h else "F" for h in hits))
+        for k, h in enumerate(hits):
+            out.write((" " if k else "") + ("T" if h else "F"))
 
 
 def append_batch(path: str, batch: int, header: list[str], make: Callable[[dict], tuple[list[tuple], dict]]) -> None:

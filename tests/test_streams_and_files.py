@@ -122,6 +122,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("user,state\nA,CA\nB,MB\n")
     assert rows(files.csv_pairs(spark, str(tmp_path / "p.csv"))) == [("A", "CA"), ("B", "MB")]
     assert rows(files.csv_pairs(spark, str(tmp_path / "p.csv"), swap=True)) == [("CA", "A"), ("MB", "B")]
+    (tmp_path / "q.csv").write_text("user,state\nA,CA\nuser,state\nB,\n")
+    assert rows(files.csv_pairs(spark, str(tmp_path / "q.csv"))) == [("A", "CA"), ("B", None)]
     (tmp_path / "stop").write_text("the\n a \n\nthe\n")
     assert rows(files.stop_words(spark, str(tmp_path / "stop"))) == [("a",), ("the",)]
     (tmp_path / "m.json").write_text('{"type": "u", "id": "1", "n": 2}\n{"type": "b", "id": "9"}\n')
