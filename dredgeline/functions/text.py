@@ -26,9 +26,9 @@ def has_word(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased tokens between white space."""
-    return F.split(F.lower(text), r"[ \t\n\r\f]+")
+def tokens(text: Column, also: str = "") -> Column:
+    """Lower-cased tokens between white space, or any of the characters ``also``."""
+    return F.split(F.lower(text), rf"[{also} \t\n\r\f]+")
 
 
 def cleaned(token: Column, punctuation: str) -> Column:

@@ -6,6 +6,7 @@ An edge list has one row ``(src, dst)`` with ``src < dst`` for each undirected e
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -201,8 +202,9 @@ def _parts(adjacent: dict) -> dict:
     return least
 
 
-def _division(edges: list[tuple]) -> list[tuple[float, float, float, dict]]:
-    """Steps of dividing one component: ``(strength, inner ends, sum of squared degrees, communities)`` of each state.
+def _division(edges: list[tuple]) -> tuple[list[tuple[float, int, int]], list[int]]:
+    """Steps of dividing one component: ``(strength, inner ends, sum of squared degrees)`` of each state, and for each edge the
+    step in which it is taken out.
 
     ``strength`` is the largest betweenness in the state, to 9 digits, by which the next edges are taken out; the last
     state, without edges, has strength 0. Only the parts that lose an edge are measured again.
@@ -220,22 +222,54 @@ def _division(edges: list[tuple]) -> list[tuple[float, float, float, dict]]:
             by_part[c].add(v)
         return [(c, vs, sum(len(adjacent[v]) for v in vs), {e: round(b, 9) for e, b in _betweenness({v: adjacent[v] for v in vs}).items()}) for c, vs in by_part.items()]
 
-    steps, state = [], {p[0]: p for p in measured(set(adjacent))}
+    state = {p[0]: p for p in measured(set(adjacent))}
+    steps, gone = [], {}
     while True:
         strength = max((b for p in state.values() for b in p[3].values()), default=0.0)
-        communities = {v: c for c, p in state.items() for v in p[1]}
-        steps.append((strength, float(sum(p[2] for p in state.values())), float(sum(p[2] ** 2 for p in state.values())), communities))
+        steps.append((strength, sum(p[2] for p in state.values()), sum(p[2] ** 2 for p in state.values())))
         if not strength:
-            return steps
+            return steps, [gone[e] for e in edges]
         for part in [p for p in state.values() if p[3] and max(p[3].values()) == strength]:
             for (u, w), b in part[3].items():
                 if b == strength:
+                    gone[(u, w)] = len(steps) - 1
                     adjacent[u].discard(w)
                     adjacent[w].discard(u)
             del state[part[0]]
             state |= {p[0]: p for p in measured(part[1])}
 
 
+def _best_moment(runs: dict, m: int, denominator: float) -> tuple[float, dict]:
+    """The modularity and each component's step at the best moment of dividing all components side by side.
+
+    The graph's state is known by the strength up to which edges have gone: in each moment the components of the highest
+    strength move on by a step.
+    """
+    at = dict.fromkeys(runs, 0)
+    inner, squares = (sum(r[0][k] for r in runs.values()) for k in (1, 2))
+    heap = [(-r[0][0], c) for c, r in runs.items()]
+    heapify(heap)
+    moved: list = []  # the components that moved, moment by moment
+    best, until = None, 0
+    while heap and heap[0][0] < 0:
+        q = round((inner - squares / denominator) / (2.0 * m), 9)
+        if best is None or q > best:
+            best, until = q, len(moved)
+        top, now = heap[0][0], []
+        while heap and heap[0][0] == top:
+            now.append(heappop(heap)[1])
+        for c in now:
+            old, new = runs[c][at[c]], runs[c][at[c] + 1]
+            at[c] += 1
+            inner, squares = inner + new[1] - old[1], squares + new[2] - old[2]
+            heappush(heap, (-new[0], c))
+        moved += now
+    moment = dict.fromkeys(runs, 0)
+    for c in moved[:until]:
+        moment[c] += 1
+    return best, moment
+
+
 def girvan_newman(v: DataFrame, e: DataFrame, denominator: str = "2m") -> DataFrame:
     """``(id, community, q)``: the division of highest modularity on the way from the whole graph to no edges.
 
@@ -243,8 +277,9 @@ def girvan_newman(v: DataFrame, e: DataFrame, denominator: str = "2m") -> DataFr
     earliest counts; the state without edges is not scored. ``community`` is the smallest vertex. Vertices without an edge
     are communities of their own.
 
-    Betweenness never crosses components, so components are divided in parallel, one to a task, and only the
-    strengths and sums of their steps (no vertices) are merged to find the best moment. One component must fit a task.
+    Betweenness never crosses components, so components are divided in parallel, one to a task, which gives three numbers for
+    each step and the step in which each edge goes. The driver merges the numbers of the steps, not more than there are
+    edges, to find the best moment; communities are what the edges left then connect. One component must fit a task.
     """
     edges = written(e.select("src", "dst").distinct(), "edges")
     m = edges.count()
@@ -255,24 +290,27 @@ def girvan_newman(v: DataFrame, e: DataFrame, denominator: str = "2m") -> DataFr
     kind = dict(edges.dtypes)["src"]
 
     def divide(t: pd.DataFrame) -> pd.DataFrame:
-        steps = _division(list(zip(t["src"], t["dst"])))
-        rows = [(t["component"].iloc[0], k, s, i, d, list(p), list(p.values())) for k, (s, i, d, p) in enumerate(steps)]
-        return pd.DataFrame(rows, columns=["component", "step", "strength", "inner", "squares", "ids", "communities"])
+        steps, gone = _division(list(zip(t["src"], t["dst"])))
+        c = t["component"].iloc[0]
+        rows = [(c, k, *s, None, None) for k, s in enumerate(steps)] + [(c, k, None, None, None, a, b) for k, a, b in zip(gone, t["src"], t["dst"])]
+        return pd.DataFrame(rows, columns=["component", "step", "strength", "inner", "squares", "src", "dst"]).astype({"inner": "Int64", "squares": "Int64"})
 
     states = written(placed.groupBy("component").applyInPandas(
-        divide, f"component {kind}, step int, strength double, inner double, squares double, ids array<{kind}>, communities array<{kind}>"), "division")
-    # the graph's state is known by the strength up to which edges have gone: each component stands at its first step whose
-    # strength, and all before it, allow it
-    steps = states.select("component", "step", "strength", "inner", "squares").toPandas().sort_values(["component", "step"])
-    at = {c: 0 for c in steps["component"].unique()}
-    runs = {c: list(t[["strength", "inner", "squares"]].itertuples(index=False, name=None)) for c, t in steps.groupby("component")}
-    scale = {"2m": 2.0 * m, "m": float(m)}[denominator]
-    best, moment = None, None
-    while (top := max(runs[c][k][0] for c, k in at.items())) > 0:
-        q = round(sum(runs[c][k][1] - runs[c][k][2] / scale for c, k in at.items()) / (2.0 * m), 9)
-        if best is None or q > best:
-            best, moment = q, dict(at)
-        at = {c: k + (runs[c][k][0] == top) for c, k in at.items()}
-    chosen = e.sparkSession.createDataFrame(pd.DataFrame({"component": list(moment), "step": [int(k) for k in moment.values()]}), f"component {kind}, step int")
-    found = states.join(chosen, ["component", "step"]).select(F.explode(F.arrays_zip("ids", "communities")).alias("z")).select(F.col("z.ids").alias("id"), F.col("z.communities").alias("community"))
+        divide, f"component {kind}, step int, strength double, inner long, squares long, src {kind}, dst {kind}"), "division")
+    runs: dict = {}
+    for r in states.where("strength is not null").select("component", "step", "strength", "inner", "squares").orderBy("component", "step").toLocalIterator():
+        runs.setdefault(r.component, []).append((r.strength, r.inner, r.squares))
+    best, moment = _best_moment(runs, m, {"2m": 2.0 * m, "m": float(m)}[denominator])
+    chosen = e.sparkSession.createDataFrame(pd.DataFrame({"component": list(moment), "step": list(moment.values())}), f"component {kind}, until int")
+    left = states.where("src is not null").join(chosen, "component").where(F.col("step") >= F.col("until"))
+
+    def connect(t: pd.DataFrame) -> pd.DataFrame:
+        adjacent: dict = defaultdict(set)
+        for u, w in zip(t["src"], t["dst"]):
+            adjacent[u].add(w)
+            adjacent[w].add(u)
+        parts = _parts(adjacent)
+        return pd.DataFrame({"id": list(parts), "community": list(parts.values())})
+
+    found = left.select("component", "src", "dst").groupBy("component").applyInPandas(connect, f"id {kind}, community {kind}")
     return v.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"), F.lit(best).alias("q"))

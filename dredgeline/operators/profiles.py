@@ -22,10 +22,10 @@ def rare_words(texts: DataFrame, column: str, ratio: float = 1e-6) -> DataFrame:
 def tfidf(docs: DataFrame, doc: str, text: str, stop_words: DataFrame, min_ratio: float = 1e-6) -> DataFrame:
     """``(doc, word, tf, idf, score)``: term counts by the largest of the document, times ``log2(documents / df)``.
 
-    A document is all rows of a ``doc`` key. Words are tokens without the extended punctuation and no stop words; those that
+    A document is all rows of a ``doc`` key. Words are tokens between white space or tildes without the extended punctuation and no stop words; those that
     are ``min_ratio`` of the document's words or less are dropped. A document without a word gives no rows.
     """
-    said = docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(text))).alias("token")).select(
+    said = docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(text), "~")).alias("token")).select(
         "doc", cleaned(F.col("token"), PUNCTUATION_EXTENDED).alias("word")).where("doc is not null and word != ''")
     counts = said.groupBy("doc", "word").agg(F.count("*").alias("n")).join(stop_words.select("word"), "word", "left_anti")
     of = Window.partitionBy("doc")

@@ -254,6 +254,13 @@ def modularity(spark, folder):
     return graph.modularity(e, labels).withColumn("q", F.round("q", 6))
 
 
+def modularity_m(spark, folder):
+    """The other denominator, of the connected components."""
+    e = _business_graph(spark, folder)
+    parts = graph.connected_components(graph.vertices(e), e).withColumnRenamed("component", "community")
+    return graph.modularity(e, parts, denominator="m").withColumn("q", F.round("q", 6))
+
+
 def edge_betweenness(spark, folder):
     e = _business_graph(spark, folder)
     return graph.edge_betweenness(graph.vertices(e), e).withColumn("betweenness", F.round("betweenness", 6))
@@ -351,7 +358,7 @@ QUERIES = {f.__name__: f for f in (
     dense_index, minhash_signatures, lsh_candidates, lsh_jaccard, jaccard_join,
     rare_words, tfidf, business_profile, user_profile, cosine_score,
     entity_averages, item_cf_model, user_cf_model, item_cf_predict, user_cf_predict,
-    cooccur_graph, jaccard_graph, edge_graph, edge_count, label_propagation, connected_components, modularity, edge_betweenness, girvan_newman,
+    cooccur_graph, jaccard_graph, edge_graph, edge_count, label_propagation, connected_components, modularity, modularity_m, edge_betweenness, girvan_newman,
     bloom_build, bloom_probe, fm_window, exact_distinct_window, stream_distinct, stream_reservoir, trending_tags, reservoir,
     rating_features, predict_ratings)}
 
@@ -363,12 +370,16 @@ _R = """r as (select review_id, user_id, business_id, case when s between 1 and
         try_cast(trim(stars) as double) as s, text, date, row_number() over (partition by trim(review_id) order by ingested_at) as k
     from review where nullif(trim(review_id), '') is not null) where k = 1)"""
 _UB = f"{_R}, ub as (select distinct user_id as u, business_id as b from r where user_id is not null and business_id is not null)"
-_TOKENS = "unnest(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'))"
+
+def _tokens(also: str = "") -> str:
+    return f"unnest(string_split_regex(lower(text), '[{also} \\t\\n\\r\\f]+'))"
+
+
 _STOP = "(select trim(word) from stop_words where word is not null)"
 
 
-def _word_sql(punctuation: str) -> str:
-    return f"translate({_TOKENS}, '{punctuation}', '')"
+def _word_sql(punctuation: str, also: str = "") -> str:
+    return f"translate({_tokens(also)}, '{punctuation}', '')"
 
 
 def _minhash_sql(record: str, p: int, bound: int) -> str:
@@ -381,7 +392,7 @@ def _minhash_sql(record: str, p: int, bound: int) -> str:
 _SIG = f"{_UB}, pairs as (select b as rec, u as item from ub), {_minhash_sql('b', 233333333333, 99999)}"
 _LSH = f"{_SIG}, band as (select rec, unnest(range(30)) as k, unnest(sig) as v from sig), cand as (select distinct x.rec as id1, y.rec as id2 from band x join band y on x.k = y.k and x.v = y.v and x.rec < y.rec)"
 _SIZE = "size as (select b, count(*) as n from ub group by b), met as (select x.b as id1, y.b as id2, count(*) as c from ub x join ub y on x.u = y.u and x.b < y.b group by all), sim as (select id1, id2, c / (p.n + q.n - c) as sim from met join size p on p.b = id1 join size q on q.b = id2)"
-_TFIDF = f"""{_R}, said as (select business_id as doc, {_word_sql(PUNCTUATION_EXTENDED)} as word from r where business_id is not null), cnt as (select doc, word, count(*) as n from said where word <> '' and word not in {_STOP} group by all),
+_TFIDF = f"""{_R}, said as (select business_id as doc, {_word_sql(PUNCTUATION_EXTENDED, "~")} as word from r where business_id is not null), cnt as (select doc, word, count(*) as n from said where word <> '' and word not in {_STOP} group by all),
     held as (select *, max(n) over (partition by doc) as most, sum(n) over (partition by doc) as total from cnt), dfs as (select word, count(*) as df from held group by word),
     sc as (select doc, word, n / most as tf, log2((select count(distinct doc) from held) / df) as idf, n / most * log2((select count(distinct doc) from held) / df) as score from held join dfs using (word) where n > 1e-6 * total)"""
 _PROFILE = f"{_TFIDF}, bp as (select doc, word from sc qualify row_number() over (partition by doc order by round(score, 6) desc, word) <= 200)"
@@ -486,6 +497,10 @@ SQL = {
     "connected_components": f"with recursive {_GRAPH}, walk(id, root) as (select id, id from l0 union select dst, root from walk join two on src = id) select id, min(root) as component from walk group by id",
     "modularity": f"""with {_LPA}, d as (select label, count(*) as deg from two join l5 on id = src group by 1), i as (select x.label, count(*) as inn from two join l5 x on x.id = src join l5 y on y.id = dst and y.label = x.label group by 1), m as (select count(*) as m from e)
         select round(coalesce(sum((coalesce(inn, 0) - deg * deg / (2.0 * m.m)) / (2.0 * m.m)), 0), 6) as q from d left join i using (label), m""",
+    "modularity_m": f"""with recursive {_UB}, e as (select x.b as src, y.b as dst from ub x join ub y on x.u = y.u and x.b < y.b group by all having count(*) >= {SHARED_USERS}), two as (select src, dst from e union all select dst, src from e),
+        walk(id, root) as (select distinct src, src from two union select dst, root from walk join two on src = id), part as (select id, min(root) as c from walk group by id), m as (select count(*) as m from e),
+        each as (select c, count(*) as deg from two join part on id = src group by c)
+        select round(coalesce(sum((deg - deg * deg / (1.0 * m.m)) / (2.0 * m.m)), 0), 6) as q from each, m""",
     # for each pair of vertices, the share of its shortest paths that use an edge
     "edge_betweenness": f"""with recursive {_UB}, e as (select x.b as src, y.b as dst from ub x join ub y on x.u = y.u and x.b < y.b group by all having count(*) >= {SHARED_USERS}), two as (select src, dst from e union all select dst, src from e),
         walk(s, v, level) as (select distinct src, src, 0 from two union select s, dst, level + 1 from walk join two on src = v where level < (select count(distinct src) from two)),
