@@ -100,7 +100,9 @@ def unpacked(df: DataFrame, key: str, packed: str, delimiters: str = DELIMITERS,
     any length is one value at least; the number of readings is bounded by the delimiters, not by the field.
     """
     rows = df.select(F.col(key).alias("key"), F.col(packed).alias("field")).where(F.col("field").isNotNull()).distinct()
-    readings = written(_readings(rows.groupBy("field").agg(F.count("*").alias("weight")), delimiters), "readings")
+    # a number that is not adapted: fields are short, but there is much work for each
+    fields = rows.groupBy("field").agg(F.count("*").alias("weight")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field")
+    readings = written(_readings(fields, delimiters), "readings")
     chosen = readings.where(F.col("choice") == 0)
     for _ in range(rounds):
         chosen = _cheapest(readings, _code(chosen))
