@@ -281,3 +281,11 @@ def test_scratch(spark):
     session._scratch[:] = [path]
     session.drop_scratch(spark)
     assert not os.path.exists(path.replace("file://", ""))
+
+
+def test_recall_of_banding(spark, data):
+    """Candidates from signatures against all pairs above the threshold."""
+    from dredgeline.plans.mining import QUERIES
+
+    some, every = ({(r.id1, r.id2) for r in QUERIES[name](spark, data).collect()} for name in ("lsh_jaccard", "jaccard_join"))
+    assert some <= every and len(some) >= 0.9 * len(every) > 100
