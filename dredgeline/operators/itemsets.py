@@ -126,8 +126,9 @@ def counted_candidates(candidates: DataFrame, df: DataFrame, basket: str, item:
 
     A candidate visits the baskets of its rarest item only, and looks its other items up there.
     """
-    rows = written(df.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item")).dropna().distinct(), "basket-items")
-    frequency = written(rows.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= support), "frequency")
+    rows = df.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item")).dropna().distinct()
+    candidates = written(candidates, "candidates")  # mined once
+    frequency = rows.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= support)
     parts = candidates.where("size > 1").select("items", "size", F.explode("items").alias("item")).join(frequency, "item")
     rarest = parts.groupBy("items", "size").agg(F.min(F.struct("freq", "item")).alias("r"), F.count("*").alias("known")).where(F.col("known") == F.col("size"))
     met = rarest.select("items", "size", F.col("r.item").alias("item")).join(rows, "item")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import PUNCTUATION_EXTENDED, cleaned, tokens
-from ..session import written
 from .review import word_counts
 from .similarity import dense_index
 
@@ -50,7 +49,7 @@ def word_index(profiles: DataFrame) -> DataFrame:
 
 def indexed(profiles: DataFrame, index: DataFrame) -> DataFrame:
     """``(doc, word)`` with the words' numbers, which are smaller to shuffle than words."""
-    return profiles.join(index, "word").select("doc", F.col("idx").alias("word"))
+    return profiles.join(index, "word").select("doc", F.col("idx").cast("int").alias("word"))
 
 
 def profile_arrays(profiles: DataFrame) -> DataFrame:
@@ -59,16 +58,14 @@ def profile_arrays(profiles: DataFrame) -> DataFrame:
 
 
 def user_profile(reviews: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``(user_id, word)``: the words in the profiles of the businesses a user has reviewed; ``word`` is a word or its number.
+    """``(user_id, word)``: the words in the profiles of the businesses a user has reviewed.
 
-    Users whose businesses have fewer than two profile words in all have no profile. Reviews meet profiles as arrays, and
-    a user's words are combined before they are shuffled.
+    Users whose businesses have fewer than two profile words in all have no profile.
     """
     seen = reviews.select("user_id", "business_id").dropna().distinct()
-    met = seen.join(profile_arrays(profiles).withColumnRenamed("doc", "business_id"), "business_id")
-    met = written(met.select("user_id", "words"), "user-words")
-    few = met.groupBy("user_id").agg(F.sum(F.size("words")).alias("all")).where(F.col("all") < 2).select("user_id")
-    return met.select("user_id", F.explode("words").alias("word")).distinct().join(few, "user_id", "left_anti")
+    met = seen.join(profiles.select(F.col("doc").alias("business_id"), "word"), "business_id").groupBy("user_id", "word").agg(F.count("*").alias("n"))
+    enough = F.sum("n").over(Window.partitionBy("user_id"))
+    return met.withColumn("all", enough).where(F.col("all") > 1).select("user_id", "word")
 
 
 def cosine_score(pairs: DataFrame, users: DataFrame, businesses: DataFrame, threshold: float = 0.01) -> DataFrame:

@@ -166,23 +166,22 @@ def business_profile(spark, folder):
     return profiles.business_profile(_scores(spark, folder))
 
 
-def _indexed_profiles(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Business profiles by the numbers of words, and the words."""
-    made = written(profiles.business_profile(_scores(spark, folder)), "profiles")
-    index = written(profiles.word_index(made), "word-index")
-    return written(profiles.indexed(made, index), "indexed-profiles"), index
+def user_profile(spark, folder):
+    held = profiles.user_profile(user_business(spark, folder), profiles.business_profile(_scores(spark, folder)))
+    return held.groupBy("user_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("word")), " ")).alias("words_md5"))
 
 
-def user_profile(spark, folder):
-    business, index = _indexed_profiles(spark, folder)
-    held = profiles.user_profile(user_business(spark, folder), business).join(index.select(F.col("idx").alias("word"), F.col("word").alias("said")), "word")
-    return held.groupBy("user_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("said")), " ")).alias("words_md5"))
+def word_profiles(spark, folder):
+    """Business profiles as arrays of word numbers, as a model holds them."""
+    made = written(profiles.business_profile(_scores(spark, folder)), "profiles")
+    arrays = profiles.profile_arrays(profiles.indexed(made, profiles.word_index(made)))
+    return arrays.select("doc", F.array_join(F.col("words").cast("array<string>"), ",").alias("words"))
 
 
 def cosine_score(spark, folder):
-    business, _ = _indexed_profiles(spark, folder)
+    business = written(profiles.business_profile(_scores(spark, folder)), "profiles")
     asked = _asked(spark, folder)
-    of_users = written(profiles.user_profile(user_business(spark, folder).join(asked.select("user_id").distinct(), "user_id", "left_semi"), business), "user-profiles")
+    of_users = profiles.user_profile(user_business(spark, folder).join(asked.select("user_id").distinct(), "user_id", "left_semi"), business)
     return profiles.cosine_score(asked, of_users, business).withColumn("sim", F.round("sim", 6))
 
 
@@ -356,7 +355,7 @@ QUERIES = {f.__name__: f for f in (
     review_count, review_count_year, distinct_business, top_users, busy_business, top_words, top_categories, partition_stats,
     baskets, frequent_itemsets, frequent_itemsets_two_pass, frequent_user_sets,
     dense_index, minhash_signatures, lsh_candidates, lsh_jaccard, jaccard_join,
-    rare_words, tfidf, business_profile, user_profile, cosine_score,
+    rare_words, tfidf, business_profile, word_profiles, user_profile, cosine_score,
     entity_averages, item_cf_model, user_cf_model, item_cf_predict, user_cf_predict,
     cooccur_graph, jaccard_graph, edge_graph, edge_count, label_propagation, connected_components, modularity, modularity_m, edge_betweenness, girvan_newman,
     bloom_build, bloom_probe, fm_window, exact_distinct_window, stream_distinct, stream_reservoir, trending_tags, reservoir,
@@ -474,6 +473,7 @@ SQL = {
     "rare_words": f"with {_R}, w as (select {_word_sql(PUNCTUATION_EXTENDED)} as word from r), c as (select word, count(*) as n from w where word <> '' group by 1) select word, n from c where n < 2e-5 * (select sum(n) from c)",
     "tfidf": f"with {_TFIDF} select doc, word, round(tf, 6) as tf, round(idf, 6) as idf, round(score, 6) as score from sc",
     "business_profile": f"with {_PROFILE} select doc, word from bp",
+    "word_profiles": f"with {_PROFILE}, ix as (select word, row_number() over (order by word) - 1 as idx from (select distinct word from bp)) select doc, string_agg(idx::varchar, ',' order by idx) as words from bp join ix using (word) group by doc",
     "user_profile": f"with {_UP} select u as user_id, count(*) as n, md5(string_agg(word, ' ' order by word)) as words_md5 from up group by u",
     "cosine_score": f"""with asked as (select distinct nullif(trim(user_id), '') as u, nullif(trim(business_id), '') as b from pairs_to_score),
         {_UP.replace("from r where user_id is not null", "from r where user_id in (select u from asked)")}, su as (select u, count(*) as n from up group by u), sb as (select doc as b, count(*) as n from bp group by doc),
