@@ -6,18 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
+#: Up to so many pairs a row, records meet item by item; beyond, popular items would make most of the pairs.
+PAIRS_A_ROW = 32
+
+
+def dense_index(df: DataFrame, column: str) -> DataFrame:
+    """``(column, idx)``: each distinct non-null value with its place in sorted order, from 0.
+
+    Values are range-partitioned; numbers start from the rows of the partitions before, so no task sorts them all.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    ranged = written(values.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "ranged")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # one row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select(F.col("v").alias(column), (F.col("place") + F.col("before")).alias("idx"))
+
+
+def few_meet(rows: DataFrame, item: str) -> bool:
+    """Whether the pairs that meet item by item stay in proportion to the rows."""
+    sizes = rows.groupBy(item).agg(F.count("*").alias("df"))
+    n, met = sizes.agg(F.sum("df"), F.sum(F.col("df") * (F.col("df") - 1) / 2)).first()
+    return (met or 0) <= PAIRS_A_ROW * (n or 0)
+
+
+def met_by_item(rows: DataFrame, least: int, *sums: Column) -> DataFrame:
+    """``(a, b, shared, *sums)`` for ``a < b`` of distinct ``(r, i)`` or ``(r, i, v)``, where ``shared`` is ``least`` or more.
+
+    Every pair is made once for each item both hold. Records go by numbers in their order meanwhile, which are far
+    smaller to shuffle than ids. ``sums`` aggregate ``x`` and ``y``, the values of the two.
+    """
+    index = written(dense_index(rows, "r"), "numbers")
+    held = written(rows.join(index, "r").drop("r").withColumnRenamed("idx", "r"), "held")
+    x, y = (held.withColumnsRenamed({"r": k, "v": v}) for k, v in (("a", "x"), ("b", "y")))
+    met = x.join(y, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"), *sums).where(F.col("shared") >= least)
+    for k in "ab":
+        met = met.join(index.select(F.col("idx").alias(k), F.col("r").alias(f"id_{k}")), k)
+    return met.drop("a", "b").withColumnsRenamed({"id_a": "a", "id_b": "b"})
+
 
 def shared_counts(df: DataFrame, record: str, item: str, least: int = 1) -> DataFrame:
     """``(a, b, shared)`` for ``a < b``: how many items both hold, where that is ``least`` or more. Rows are distinct.
 
-    Two records that share ``least`` items share one outside the ``least - 1`` most frequent items of each, so only the
+    Where few pairs meet item by item, they are counted so. Else, two records that share ``least`` items share one outside the ``least - 1`` most frequent items of each, so only the
     others make candidates: the most popular items never do. Candidates are then counted over all items, from
     the record with fewer.
     """
     rows = df.select(F.col(record).alias("r"), F.col(item).alias("i")).dropna().distinct()
-    if least <= 1:
-        x, y = rows.select(F.col("r").alias("a"), "i"), rows.select(F.col("r").alias("b"), "i")
-        return x.join(y, "i").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    if least <= 1 or few_meet(rows, "i"):
+        return met_by_item(rows, least).select("a", "b", "shared")
     frequency = rows.groupBy("i").agg(F.count("*").alias("df"))
     sizes = rows.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     held = rows.join(sizes, "r").join(frequency.where(F.col("df") > 1), "i")

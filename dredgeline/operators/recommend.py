@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import written
-from .pairs import shared_counts
+from .pairs import few_meet, met_by_item, shared_counts
 from .similarity import dense_index, lsh_candidates, minhash
 
 #: The rating where neither a neighbour nor an average is known, a fixed value.
@@ -43,12 +43,22 @@ def _correlated(pairs: DataFrame, rated: DataFrame, record: str, other: str, nam
     rows = rated.select(F.col(record).alias("r"), F.col(other).alias("o"), "stars")
     x = pairs.select("a", "b").join(rows.select(F.col("r").alias("a"), "o", F.col("stars").alias("x")), "a")
     both = x.join(rows.select(F.col("r").alias("b"), "o", F.col("stars").alias("y")), ["b", "o"])
-    sims = both.groupBy("a", "b").agg(*_pearson()).select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), _correlation().alias("sim"))
-    return sims.where(F.col("sim") > 0)
+    return _similar(both.groupBy("a", "b").agg(*_pearson()), names)
+
+
+def _similar(sums: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Positive correlations from the sums of the pairs ``(a, b)``."""
+    return sums.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), _correlation().alias("sim")).where(F.col("sim") > 0)
 
 
 def item_cf_model(rated: DataFrame, min_corated: int = 3) -> DataFrame:
-    """``(b1, b2, sim)``, ``b1 < b2``: businesses that ``min_corated`` users have rated both, of positive correlation."""
+    """``(b1, b2, sim)``, ``b1 < b2``: businesses that ``min_corated`` users have rated both, of positive correlation.
+
+    The sums of a pair are made where it meets, user by user, unless some users rate so much that these pairs are too many.
+    """
+    if few_meet(rated, "user_id"):
+        rows = rated.select(F.col("business_id").alias("r"), F.col("user_id").alias("i"), F.col("stars").alias("v"))
+        return _similar(met_by_item(rows, min_corated, *_pearson()), ("b1", "b2"))
     return _correlated(shared_counts(rated, "business_id", "user_id", min_corated), rated, "business_id", "user_id", ("b1", "b2"))
 
 

@@ -4,25 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.hashing import coefficients, universal
 from ..session import written
-from .pairs import ordered_sets, shared_counts, similarity, within
-
-
-def dense_index(df: DataFrame, column: str) -> DataFrame:
-    """``(column, idx)``: each distinct non-null value with its place in sorted order, from 0.
-
-    Values are range-partitioned; numbers start from the rows of the partitions before, so no task sorts them all.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
-    ranged = written(values.repartitionByRange(n, "v").withColumn("part", F.spark_partition_id()), "ranged")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # one row a partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select(F.col("v").alias(column), (F.col("place") + F.col("before")).alias("idx"))
+from .pairs import dense_index, ordered_sets, shared_counts, similarity, within  # noqa: F401
 
 
 def minhash(sets: DataFrame, record: str, item: str, n_hashes: int = 30, m: int | None = None, p: int = 233_333_333_333,

@@ -106,6 +106,50 @@ def test_shared_counts(spark, least):
     assert rows(pairs.shared_counts(df, "r", "i", least)) == want
 
 
+def test_shared_counts_of_many_meetings(spark, monkeypatch):
+    held = [(f"r{k}", f"i{(k * j) % 7}") for k in range(12) for j in range(1, 6)]
+    df = spark.createDataFrame(held, "r string, i string")
+    few = rows(pairs.shared_counts(df, "r", "i", 2))
+    monkeypatch.setattr(pairs, "PAIRS_A_ROW", 0)
+    assert few and rows(pairs.shared_counts(df, "r", "i", 2)) == few
+
+
+def shuffled(spark, run):
+    """Records that the shuffles of ``run()`` have written."""
+    sc = spark.sparkContext
+    none = (False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, *none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+@pytest.mark.parametrize("model", [recommend.item_cf_model])
+def test_model_of_a_popular_business(spark, model):
+    """A business that half of the users rate meets many others: its pairs are not spread over all its ratings again."""
+    draw = random.Random(1)
+    held = [(f"u{u}", "hub", float(draw.randint(1, 5))) for u in range(0, 1200, 2)] + [(f"u{u}", f"b{(u * 7 + j * 31) % 150}", float(draw.randint(1, 5))) for u in range(1200) for j in range(4)]
+    rated = spark.createDataFrame(held, "user_id string, business_id string, stars double")
+    found = {}
+    moved = shuffled(spark, lambda: found.update({(r[0], r[1]): r[2] for r in model(rated).collect()}))
+    stars_: dict = {}
+    for u, b, s in held:
+        stars_.setdefault(b, {})[u] = s
+    want = {}
+    for a, b in itertools.combinations(sorted(stars_), 2):
+        both = sorted(stars_[a].keys() & stars_[b].keys())
+        x, y = [stars_[a][u] for u in both], [stars_[b][u] for u in both]
+        if len(both) >= 3 and np.std(x) and np.std(y) and (c := np.corrcoef(x, y)[0, 1]) > 1e-12:
+            want[(a, b)] = c
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert moved < 3 * len(held)
+
+
 def test_hash_fold(spark):
     df = spark.createDataFrame([("Los Angeles", 1704853), ("Montréal", 1300130), ("x", 851), ("a very long city name that is more than sixteen bytes", 299951)], "s string, want long")
     p = 23_333_333_333
