@@ -150,6 +150,24 @@ def test_model_of_a_popular_business(spark, model):
     assert moved < 3 * len(held)
 
 
+def test_prediction_beside_a_popular_business(spark):
+    draw = random.Random(2)
+    held = [(f"u{u}", "hub", float(draw.randint(1, 5))) for u in range(0, 1200, 2)] + [(f"u{u}", f"b{(u * 7 + j * 31) % 150}", float(draw.randint(1, 5))) for u in range(1200) for j in range(4)]
+    rated = spark.createDataFrame(held, "user_id string, business_id string, stars double")
+    asked, averages = [("u2", "b1"), ("u3", "hub"), ("u4", "nowhere")], recommend.entity_averages(rated, "business_id")
+    found = {}
+    moved = shuffled(spark, lambda: found.update({(r[0], r[1]): r[2] for r in recommend.item_cf_predict(
+        spark.createDataFrame(asked, "user_id string, business_id string"), rated, recommend.item_cf_model(rated), averages).collect()}))
+    sims = {frozenset(r[:2]): r[2] for r in recommend.item_cf_model(rated).collect()}
+    means = dict(map(tuple, averages.collect()))
+    assert found.keys() == set(asked[:2])
+    for u, b in asked[:2]:
+        near = sorted(((-round(sims[frozenset((b, n))], 9), n, sims[frozenset((b, n))], s) for v, n, s in held if v == u and frozenset((b, n)) in sims))[:3]
+        want = sum(s * w for _, _, w, s in near) / sum(w for _, _, w, _ in near) if near else means[b]
+        assert abs(found[(u, b)] - want) < 1e-9
+    assert moved < 8 * len(held)
+
+
 def test_hash_fold(spark):
     df = spark.createDataFrame([("Los Angeles", 1704853), ("Montréal", 1300130), ("x", 851), ("a very long city name that is more than sixteen bytes", 299951)], "s string, want long")
     p = 23_333_333_333
