@@ -1,3 +1,4 @@
+import time
 from fractions import Fraction
 
 import pytest
@@ -100,3 +101,31 @@ def test_label_rounds(spark, rounds):
     e = edges(spark, [("a", "b"), ("b", "c")])
     got = dict(map(tuple, graph.label_propagation(graph.vertices(e), e, rounds).collect()))
     assert got == ({"a": "a", "b": "b", "c": "c"} if rounds == 0 else {"a": "b", "b": "a", "c": "b"})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 5)), min_size=1, max_size=40))
+def test_scores_with_leaves_and_twins(pairs):
+    adjacent: dict = {k: set() for k in range(15)}
+    for a, b in pairs:
+        if a != b:
+            adjacent[a].add(b)
+            adjacent[b].add(a)
+    want = {k: round(b, 9) for k, b in graph._betweenness(adjacent).items()}
+    assert {k: round(b, 9) for k, b in graph._scores(adjacent).items()} == want
+    parts: dict = {}
+    for block in range(3):
+        for k, b in graph._scores(adjacent, block, 3).items():
+            parts[k] = parts.get(k, 0) + b
+    assert {k: round(b, 9) for k, b in parts.items()} == want
+
+
+def test_division_around_hubs():
+    """Thousands of vertices around a few hubs, as shared customers make them: far fewer kinds of vertices than vertices."""
+    links = [(h, f"v{k:04d}") for k in range(3000) for h in ([f"h{k % 5}"] if k % 10 else [f"h{k % 5}", f"h{(k // 10 + 1) % 5}"])]
+    links = sorted({(min(p), max(p)) for p in links} | {("h0", "h1"), ("h1", "h2"), ("h2", "h3"), ("h3", "h4")})
+    began = time.process_time()
+    steps, gone = graph._division(links)
+    assert time.process_time() - began < 20
+    assert len(gone) == len(links) and steps[-1] == (0.0, 0, 0)
+    assert max(gone) == len(steps) - 2 and steps[0][1] == 2 * len(links)
