@@ -103,14 +103,24 @@ def _levels(v: DataFrame, links: DataFrame) -> DataFrame:
     return seen
 
 
+#: Edges that a task may hold, and roots times edges that one should work on.
+TASK_EDGES, TASK_WORK = 500_000, 20_000_000
+
+
 def edge_betweenness(v: DataFrame, e: DataFrame, block_rows: int = 2_000_000_000) -> DataFrame:
     """``(src, dst, betweenness)``: over all pairs of vertices, the share of their shortest paths that use the edge.
 
-    Credits flow back from the deepest level, for many roots at once: a vertex has 1 and what its children give, and
+    Up to ``TASK_EDGES`` edges, each task gets them all and takes a part of the roots (see :func:`_scores`), so that no row is
+    made for a root and a vertex. In larger graphs, credits flow back from the deepest level, for many roots at once: a vertex has 1 and what its children give, and
     gives it to its parents by their numbers of paths. Roots are taken in as many blocks as keep the rows of a block (roots
     times edges at most) below ``block_rows``, so what is held at a time does not grow with the square of the graph.
     """
-    links = written(both_ways(e), "links")
+    edges = written(e.select("src", "dst").distinct(), "edges")
+    n = edges.count()
+    if n <= TASK_EDGES:
+        most = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return _in_tasks(edges, min(most, max(1, -(-v.count() * n // TASK_WORK))))
+    links = written(both_ways(edges), "links")
     roots = written(v.select("id"), "roots")
     blocks = max(1, -(-roots.count() * links.count() // block_rows))
     shares = None
@@ -123,6 +133,21 @@ def edge_betweenness(v: DataFrame, e: DataFrame, block_rows: int = 2_000_000_000
     return shares.groupBy("src", "dst").agg((F.sum("credit") / 2).alias("betweenness"))
 
 
+def _in_tasks(edges: DataFrame, blocks: int) -> DataFrame:
+    """``(src, dst, betweenness)`` by one task for each block of roots."""
+    def scored(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        adjacent: dict = defaultdict(set)
+        for u, w in zip(t["src"], t["dst"]):
+            adjacent[u].add(w)
+            adjacent[w].add(u)
+        return pd.DataFrame([(*ends, b) for ends, b in _scores(adjacent, key[0], blocks).items()], columns=["src", "dst", "betweenness"])
+
+    kind = dict(edges.dtypes)["src"]
+    each = edges.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shares = each.groupBy("block").applyInPandas(scored, f"src {kind}, dst {kind}, betweenness double")
+    return shares.groupBy("src", "dst").agg(F.sum("betweenness").alias("betweenness"))
+
+
 def _credits(roots: DataFrame, links: DataFrame) -> DataFrame | None:
     """``(src, dst, credit)`` summed over some roots; None if they reach nothing."""
     reach = written(_levels(roots, links), "paths")

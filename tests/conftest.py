@@ -39,6 +39,21 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def shuffled(spark, run):
+    """Records that the shuffles of ``run()`` have written."""
+    sc = spark.sparkContext
+    none = (False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, *none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
 def same_as_sql(spark, duck, data, query, sql):
     """Asserts that a query's rows equal those of its SQL, columns by name."""
     got = query(spark, data)

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dredgeline.operators import graph
-from .conftest import rows
+from dredgeline.sources import reports
+from .conftest import rows, shuffled
 
 TOY = [("A", "CA"), ("B", "CA"), ("A", "MB"), ("C", "MB"), ("B", "PQ"), ("C", "PQ"), ("A", "MV"), ("D", "MV"), ("D", "UV"), ("C", "UV"), ("D", "OU"), ("E", "OU"), ("E", "BC"), ("C", "BC")]
 BARBELL = [(x, y) for x, y in ("ab", "bc", "ac", "cd", "de", "ef", "df")]
@@ -129,3 +130,25 @@ def test_division_around_hubs():
     assert time.process_time() - began < 20
     assert len(gone) == len(links) and steps[-1] == (0.0, 0, 0)
     assert max(gone) == len(steps) - 2 and steps[0][1] == 2 * len(links)
+
+
+def test_betweenness_around_hubs(spark, monkeypatch):
+    """No rows by root and vertex for a graph that a task may hold, and the same from the rows where it may not."""
+    e = edges(spark, [(f"h{k % 3}", f"v{k:03d}") for k in range(200)] + [("h0", "h1"), ("h1", "h2")])
+    monkeypatch.setattr(graph, "TASK_WORK", 20_000)  # in several blocks
+    adjacent: dict = {}
+    for r in e.collect():
+        adjacent.setdefault(r.src, set()).add(r.dst)
+        adjacent.setdefault(r.dst, set()).add(r.src)
+    want = {k: round(b, 6) for k, b in graph._betweenness(adjacent).items()}
+    found: dict = {}
+    moved = shuffled(spark, lambda: found.update({(r.src, r.dst): round(r.betweenness, 6) for r in graph.edge_betweenness(graph.vertices(e), e).collect()}))
+    assert found == want and moved < 20_000
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    few = edges(spark, BARBELL)
+    assert {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(graph.vertices(few), few, 40).collect()} == {"cd": 9, "ac": 4, "bc": 4, "de": 4, "df": 4, "ab": 1, "ef": 1}
+
+
+def test_large_scores_as_lines(spark):
+    scores = spark.createDataFrame([("a", "b", 12345678.5), ("a", "c", 20000000.0), ("b", "c", 2.5), ("b", "d", 123456789.123456)], "src string, dst string, betweenness double")
+    assert [r.line for r in reports.betweenness_lines(scores).collect()] == ["('b', 'd'), 123456789.123456", "('a', 'c'), 20000000.0", "('a', 'b'), 12345678.5", "('b', 'c'), 2.5"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dredgeline.functions.hashing import bytes_mod, coefficients, trailing_zeros, universal
 from dredgeline.operators import itemsets, pairs, profiles, recommend, regression, review, similarity, sketches, skew
 from dredgeline.sources.tables import stars, unique_reviews
-from .conftest import rows
+from .conftest import rows, shuffled
 
 REVIEW = "review_id string, user_id string, business_id string, stars string, text string, date string, ingested_at timestamp"
 
@@ -114,21 +114,6 @@ def test_shared_counts_of_many_meetings(spark, monkeypatch):
     assert few and rows(pairs.shared_counts(df, "r", "i", 2)) == few
 
 
-def shuffled(spark, run):
-    """Records that the shuffles of ``run()`` have written."""
-    sc = spark.sparkContext
-    none = (False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-
-    def total():
-        sc._jsc.sc().listenerBus().waitUntilEmpty()
-        stages = sc._jsc.sc().statusStore().stageList(None, *none)
-        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
-
-    before = total()
-    run()
-    return total() - before
-
-
 @pytest.mark.parametrize("model", [recommend.item_cf_model])
 def test_model_of_a_popular_business(spark, model):
     """A business that half of the users rate meets many others: its pairs are not spread over all its ratings again."""
