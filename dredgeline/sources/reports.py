@@ -54,8 +54,10 @@ def community_lines(communities: DataFrame) -> DataFrame:
 
 
 def betweenness_lines(scores: DataFrame) -> DataFrame:
-    """``(line)``: ``('a', 'b'), score``, highest first, then by the ends."""
-    line = F.concat(F.lit("('"), F.col("src").cast("string"), F.lit("', '"), F.col("dst").cast("string"), F.lit("'), "), F.col("betweenness").cast("string"))
+    """``(line)``: ``('a', 'b'), score``, highest first, then by the ends. Scores are written without an exponent."""
+    plain = F.regexp_replace(F.col("betweenness").cast("decimal(38,9)").cast("string"), r"(\.\d+?)0+$", "$1")
+    score = F.when(F.col("betweenness") < 10_000_000, F.col("betweenness").cast("string")).otherwise(plain)
+    line = F.concat(F.lit("('"), F.col("src").cast("string"), F.lit("', '"), F.col("dst").cast("string"), F.lit("'), "), score)
     return scores.orderBy(F.desc("betweenness"), "src", "dst").select(line.alias("line"))
 
 
