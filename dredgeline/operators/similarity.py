@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import coefficients, universal
 from ..session import written
-from .pairs import dense_index, ordered_sets, shared_counts, similarity, within  # noqa: F401
+from .pairs import dense_index, few_meet, met_by_item, ordered_sets, similarity, within  # noqa: F401
 
 
 def minhash(sets: DataFrame, record: str, item: str, n_hashes: int = 30, m: int | None = None, p: int = 233_333_333_333,
@@ -41,6 +41,23 @@ def lsh_candidates(signatures: DataFrame, record: str, bands: int = 30) -> DataF
     return both.select(F.least("id_x", "id_y").alias("id1"), F.greatest("id_x", "id_y").alias("id2"))
 
 
+def lsh_join(df: DataFrame, record: str, item: str, signatures: DataFrame, threshold: float, bands: int = 30) -> DataFrame:
+    """``(id1, id2, sim)`` of the pairs of :func:`lsh_candidates` with a Jaccard similarity of ``threshold`` or more.
+
+    Most candidates of short bands share next to nothing, and to look at one costs all items of a record. So where few
+    pairs meet item by item, they are measured first, and of the similar ones those whose signatures agree in a band stay.
+    """
+    rows = df.select(F.col(record).alias("r"), F.col(item).alias("i")).dropna().distinct()
+    if threshold <= 0 or not few_meet(rows, "i"):
+        return jaccard_join(df, record, item, threshold, lsh_candidates(signatures, record, bands))
+    named = written(signatures.select(F.col(record).alias("id"), "sig"), "signatures")
+    a, b = (named.select(F.col("id").alias(f"id{k}"), F.col("sig").alias(f"sig{k}")) for k in (1, 2))
+    rows_ = F.ceil(F.size("sig1") / bands).cast("int")
+    part = lambda sig, k: F.slice(sig, k * rows_ + 1, rows_)
+    agree = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: (F.size(part("sig1", k)) > 0) & (part("sig1", k) == part("sig2", k)))
+    return jaccard_join(df, record, item, threshold).join(a, "id1").join(b, "id2").where(agree).select("id1", "id2", "sim")
+
+
 #: The threshold from which sets are joined by their rarest items, and the number of items that one row may hold.
 PREFIX, LARGE = 0.2, 20_000
 
@@ -71,10 +88,12 @@ def jaccard_join(df: DataFrame, record: str, item: str, threshold: float = 0.055
         large = jaccard_join(sized.where(F.col("n") > threshold * LARGE), "r", "i", threshold, _large_pairs(sized, threshold))
         return found.unionByName(large)
     if candidates is None:
-        shared = shared_counts(rows, "r", "i").select(F.col("a").alias("id1"), F.col("b").alias("id2"), "shared")
+        # sizes go along as values, so what is not similar is left out before it is named
+        met = met_by_item(rows.join(sizes, "r").withColumnRenamed("n", "v"), 1, F.max("x").alias("n1"), F.max("y").alias("n2"))
+        sized = met.select(F.col("a").alias("id1"), F.col("b").alias("id2"), "n1", "n2", "shared")
     else:
         x = candidates.select("id1", "id2").join(rows.select(F.col("r").alias("id1"), "i"), "id1")
         shared = x.join(rows.select(F.col("r").alias("id2"), "i"), ["id2", "i"]).groupBy("id1", "id2").agg(F.count("*").alias("shared"))
+        sized = shared.join(sizes.select(F.col("r").alias("id1"), F.col("n").alias("n1")), "id1").join(sizes.select(F.col("r").alias("id2"), F.col("n").alias("n2")), "id2")
     sim = F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))
-    sized = shared.join(sizes.select(F.col("r").alias("id1"), F.col("n").alias("n1")), "id1").join(sizes.select(F.col("r").alias("id2"), F.col("n").alias("n2")), "id2")
     return sized.select("id1", "id2", sim.alias("sim")).where(F.col("sim") >= threshold)

@@ -153,6 +153,20 @@ def test_prediction_beside_a_popular_business(spark):
     assert moved < 8 * len(held)
 
 
+def test_similar_candidates_of_popular_records(spark, monkeypatch):
+    """Candidates of one-row bands between records of many items and no similarity are not spread over their items."""
+    held = [(f"r{k:02d}", f"i{j}") for k in range(40) for j in range(k * 100, k * 100 + 104)]
+    df = spark.createDataFrame(held, "id string, item string")
+    sigs = df.select("id").distinct().withColumn("sig", F.array(*(F.lit(k) if k < 2 else F.xxhash64("id") + k if k > 3 else F.when(F.col("id") < "r38", 5).otherwise(7 + F.ascii(F.substring("id", 3, 1))) for k in range(6))))
+    sigs = spark.createDataFrame(sigs.collect(), sigs.schema)
+    found: list = []
+    moved = shuffled(spark, lambda: found.extend(rows(similarity.lsh_join(df, "id", "item", sigs, 0.01, 3))))
+    assert len(found) == 39 and moved < 12 * len(held)
+    assert len(rows(similarity.lsh_join(df, "id", "item", sigs.withColumn("sig", F.slice("sig", 3, 2)), 0.01, 2))) == 37
+    monkeypatch.setattr(similarity, "few_meet", lambda *_: False)
+    assert rows(similarity.lsh_join(df, "id", "item", sigs, 0.01, 3)) == found
+
+
 def test_hash_fold(spark):
     df = spark.createDataFrame([("Los Angeles", 1704853), ("Montréal", 1300130), ("x", 851), ("a very long city name that is more than sixteen bytes", 299951)], "s string, want long")
     p = 23_333_333_333
