@@ -167,6 +167,19 @@ def test_similar_candidates_of_popular_records(spark, monkeypatch):
     assert rows(similarity.lsh_join(df, "id", "item", sigs, 0.01, 3)) == found
 
 
+def test_user_digests(spark, monkeypatch):
+    """As from the rows of words, which are not shuffled by user: a popular business's words go to a bucket once."""
+    seen = [(f"u{k}", "hub") for k in range(400)] + [(f"u{k}", f"b{k % 7}") for k in range(300)] + [("solo", "one"), ("lost", "nowhere"), (None, "hub")]
+    held = [("hub", f"wörd{j}") for j in range(200)] + [(f"b{b}", f"w{j * b}") for b in range(7) for j in range(20)] + [("one", "word")]
+    users, words = spark.createDataFrame(seen, "user_id string, business_id string"), spark.createDataFrame(sorted(set(held)), "doc string, word string")
+    want = profiles.user_profile(users, words).groupBy("user_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("word")), " ")).alias("words_md5"))
+    monkeypatch.setattr(profiles, "USER_ROWS", 200)
+    found: list = []
+    moved = shuffled(spark, lambda: found.extend(rows(profiles.user_digests(users, words))))
+    assert found == rows(want) and len(found) == 400
+    assert moved < 5_000
+
+
 def test_hash_fold(spark):
     df = spark.createDataFrame([("Los Angeles", 1704853), ("Montréal", 1300130), ("x", 851), ("a very long city name that is more than sixteen bytes", 299951)], "s string, want long")
     p = 23_333_333_333
