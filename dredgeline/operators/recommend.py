@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import universal
 from ..session import written
-from .pairs import few_meet, met_by_item, shared_counts
-from .similarity import dense_index, lsh_candidates, minhash
+from . import neighbours
+from .pairs import dense_index, few_meet, met_by_item, shared_counts
 
 #: The rating where neither a neighbour nor an average is known, a fixed value.
 DEFAULT_STARS = 3.83
@@ -62,29 +63,54 @@ def item_cf_model(rated: DataFrame, min_corated: int = 3) -> DataFrame:
     return _correlated(shared_counts(rated, "business_id", "user_id", min_corated), rated, "business_id", "user_id", ("b1", "b2"))
 
 
+def _able(rated: DataFrame, min_corated: int) -> DataFrame:
+    """Ratings of businesses with ``min_corated`` raters by users with so many ratings of those."""
+    raters = rated.groupBy("business_id").count().where(F.col("count") >= min_corated).select("business_id")
+    able = rated.join(raters, "business_id", "left_semi")
+    active = able.groupBy("user_id").count().where(F.col("count") >= min_corated).select("user_id")
+    return written(able.join(active, "user_id", "left_semi"), "able")  # read many times below
+
+
+def _similar_users(keys: DataFrame, min_corated: int, min_jaccard: float, lsh: bool) -> neighbours.Rule:
+    m = 2 * max(1, keys.count())
+    return neighbours.Rule(min_corated, min_jaccard, neighbours.minhash_rule(30, 23_333_333_333, m, 2, 999_999) if lsh else None)
+
+
+def _large_pairs(sets: DataFrame, rule: neighbours.Rule) -> DataFrame | None:
+    """``(a, b, sim)``, ``a < b``, where one has more items than :func:`neighbours.small_pairs` looks at; None if none has."""
+    large = F.col("n") > neighbours.LARGE
+    if sets.where(large).isEmpty():
+        return None
+    flat = sets.where(F.col("n") >= rule.least).select("r", "n", F.explode(F.arrays_zip("keys", "vals")).alias("e")).select("r", "n", F.col("e.keys").alias("key"), F.col("e.vals").alias("v")).where("key >= 0")
+    x, y = (flat.withColumnsRenamed({"r": k, "n": f"n{k}", "v": v}) for k, v in (("a", "x"), ("b", "y")))
+    once = (F.col("nb") <= neighbours.LARGE) | (F.col("a") < F.col("b"))
+    met = x.where(F.col("na") > neighbours.LARGE).join(y, "key").where((F.col("a") != F.col("b")) & once).groupBy("a", "b", "na", "nb").agg(*_pearson())
+    met = met.where((F.col("n") >= rule.least) & (F.col("n") >= rule.min_jaccard * (F.col("na") + F.col("nb") - F.col("n"))))
+    if rule.hashes:
+        hashes, p, m = rule.hashes
+        number = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+        sigs = flat.groupBy("r").agg(*(F.min(universal(number, a, b, p, m)).alias(f"h{k}") for k, (a, b) in enumerate(hashes))).select("r", F.array(*(f"h{k}" for k in range(len(hashes)))).alias("sig"))
+        sa, sb = (sigs.select(F.col("r").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+        met = met.join(sa, "a").join(sb, "b").where(F.exists(F.zip_with("sig_a", "sig_b", lambda p, q: p == q), lambda e: e))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _correlation().alias("sim")).where(F.col("sim") > 0)
+
+
+def _compared(sets: DataFrame, rule: neighbours.Rule, names: tuple[str, str]) -> DataFrame:
+    small, large = neighbours.small_pairs(sets, rule), _large_pairs(sets, rule)
+    return (small if large is None else small.unionByName(large)).toDF(*names, "sim")
+
+
 def user_cf_model(rated: DataFrame, min_corated: int = 3, min_jaccard: float = 0.01, lsh: bool = True) -> DataFrame:
     """``(u1, u2, sim)``, ``u1 < u2``: users with ``min_corated`` common businesses, similar enough, of positive correlation.
 
     Users of fewer ratings, and businesses of fewer raters, than ``min_corated`` are left out. With ``lsh``, only users
-    whose MinHash signatures agree somewhere count as similar: candidates share ``min_corated`` businesses first, so
-    users who share but a popular business are never paired.
+    whose MinHash signatures agree somewhere count as similar. Users are compared in the tasks where they meet, so those
+    who share but a popular business are never paired, and no pair is moved.
     """
-    raters = rated.groupBy("business_id").count().where(F.col("count") >= min_corated).select("business_id")
-    able = rated.join(raters, "business_id", "left_semi")
-    active = able.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_corated)
-    able = written(able.join(active.select("user_id"), "user_id", "left_semi"), "able")  # read many times below
-    active = able.groupBy("user_id").agg(F.count("*").alias("n"))
-    pairs = shared_counts(able, "user_id", "business_id", min_corated)
-    sizes = [active.select(F.col("user_id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab"]
-    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where(F.col("shared") >= min_jaccard * (F.col("na") + F.col("nb") - F.col("shared")))
-    if lsh:
-        pairs = written(pairs, "user-pairs")
-        indexed = able.join(dense_index(able, "business_id"), "business_id")
-        sigs = minhash(indexed, "user_id", "idx", p=23_333_333_333, coefficient_bound=999_999)
-        sa, sb = (sigs.select(F.col("user_id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-        agree = F.exists(F.zip_with("sig_a", "sig_b", lambda p, q: p == q), lambda e: e)
-        pairs = pairs.join(sa, "a").join(sb, "b").where(agree)
-    return _correlated(pairs, able, "user_id", "business_id", ("u1", "u2"))
+    able = _able(rated, min_corated)
+    keys = written(neighbours.item_keys(able, "business_id"), "keys")
+    rows = able.join(keys, "business_id").select(F.col("user_id").alias("r"), "key", F.col("stars").alias("v"))
+    return _compared(written(neighbours.packed(rows), "users"), _similar_users(keys, min_corated, min_jaccard, lsh), ("u1", "u2"))
 
 
 def _wanted(pairs: DataFrame, rated: DataFrame) -> DataFrame:

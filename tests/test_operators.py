@@ -1,5 +1,6 @@
 """Reviews, itemsets, similarity, profiles, recommendation, sketches, regression on small tables."""
 
+import collections
 import itertools
 import random
 
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dredgeline.functions.hashing import bytes_mod, coefficients, trailing_zeros, universal
-from dredgeline.operators import itemsets, pairs, profiles, recommend, regression, review, similarity, sketches, skew
+from dredgeline.operators import itemsets, neighbours, pairs, profiles, recommend, regression, review, similarity, sketches, skew
 from dredgeline.sources.tables import stars, unique_reviews
 from .conftest import rows, shuffled
 
@@ -153,6 +154,60 @@ def test_prediction_beside_a_popular_business(spark):
     assert moved < 8 * len(held)
 
 
+def taste(n: int, seed: int) -> list[tuple[str, str, float]]:
+    """Ratings of a few popular businesses, which many users share, and of others."""
+    draw = random.Random(seed)
+    held = {(f"u{u}", f"hub{h}"): float(draw.randint(1, 5)) for u in range(n) for h in range(6) if draw.random() < 0.5}
+    held |= {(f"u{u}", f"b{draw.randrange(n)}"): float(draw.randint(1, 5)) for u in range(n) for _ in range(draw.choice([1, 3, 6, 20]))}
+    return [(u, b, s) for (u, b), s in held.items()]
+
+
+def similar_users(held) -> dict:
+    """Positive correlations of users with three common businesses, of users and businesses with three ratings."""
+    for k in (1, 0):
+        many = collections.Counter(r[k] for r in held)
+        held = [r for r in held if many[r[k]] >= 3]
+    of: dict = {}
+    for u, b, s in held:
+        of.setdefault(u, {})[b] = s
+    found = {}
+    for a, b in itertools.combinations(sorted(of), 2):
+        if len(both := sorted(of[a].keys() & of[b].keys())) >= 3 and len(both) >= 0.01 * len(of[a].keys() | of[b].keys()):
+            x, y = [of[a][i] for i in both], [of[b][i] for i in both]
+            if np.std(x) and np.std(y) and (c := np.corrcoef(x, y)[0, 1]) > 1e-12:
+                found[(a, b)] = c
+    return found
+
+
+@pytest.mark.parametrize("large, block, dense, step", [(512, 2048, 256, 1 << 19), (512, 2048, 8, 64), (512, 20, 4, 1 << 12), (9, 20, 4, 1 << 12), (512, 20, 256, 1 << 19), (0, 20, 4, 64)])
+def test_similar_users_of_popular_businesses(spark, monkeypatch, large, block, dense, step):
+    """Users are compared where they meet, in any way; neither pairs nor their ratings are moved."""
+    for name, value in (("LARGE", large), ("BLOCK", block), ("DENSE", dense), ("STEP", step)):
+        monkeypatch.setattr(neighbours, name, value)
+    held = taste(300, 3)
+    rated, found = spark.createDataFrame(held, "user_id string, business_id string, stars double"), {}
+    moved = shuffled(spark, lambda: found.update({(r[0], r[1]): r[2] for r in recommend.user_cf_model(rated, lsh=False).collect()}))
+    want = similar_users(held)
+    assert len(want) > 5000 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    if block == 2048:
+        assert moved < 12 * len(held)
+    same = {tuple(r[:2]) for r in recommend.user_cf_model(rated).collect()}
+    assert same == signed(held, found)
+
+
+def signed(held, pairs) -> set:
+    """Those of the pairs whose signatures, of thirty hashes of the number of a business, agree somewhere."""
+    for k in (1, 0):
+        many = collections.Counter(r[k] for r in held)
+        held = [r for r in held if many[r[k]] >= 3]
+    number = {b: k for k, b in enumerate(sorted({r[1] for r in held}))}
+    of: dict = {}
+    for u, b, _ in held:
+        of.setdefault(u, []).append(number[b])
+    sig = {u: [min((a * k + b) % 23_333_333_333 % (2 * len(number)) for k in ks) for a, b in coefficients(2, 30, 1, 999_999, 0)] for u, ks in of.items()}
+    return {(a, b) for a, b in pairs if any(x == y for x, y in zip(sig[a], sig[b]))}
+
+
 def test_similar_candidates_of_popular_records(spark, monkeypatch):
     """Candidates of one-row bands between records of many items and no similarity are not spread over their items."""
     held = [(f"r{k:02d}", f"i{j}") for k in range(40) for j in range(k * 100, k * 100 + 104)]
