@@ -232,3 +232,32 @@ def small_pairs(sets: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.names.take(pa.array(u[part])), rows.names.take(pa.array(v[part])), pa.array(sim[part])], names=["a", "b", "sim"])
 
     return _in_tasks(dealt(sets, rule.least), rule, "a string, b string, sim double", make)
+
+
+def moved_by_small_pairs(sets: DataFrame, rule: Rule) -> DataFrame:
+    """``(r, key, num, den)``: of the pairs of :func:`small_pairs` in which ``r`` asks for ``key`` (``asks``) and the other has
+    rated it, the sums of ``sim`` times how far that rating lies from the other's ``mean``, and of ``sim``."""
+
+    def make(table: pa.Table, rows: _Rows) -> Iterator[pa.RecordBatch]:
+        asks, mean = table["asks"].combine_chunks(), table["mean"].to_numpy()
+        many = np.diff(asks.offsets.to_numpy())
+        begin, keys, of = np.cumsum(many) - many, asks.flatten().to_numpy(), np.repeat(np.arange(len(many)), many)
+        place = np.minimum(np.searchsorted(rows.all_keys, keys), len(rows.all_keys) - 1)
+        place[rows.all_keys[place] != keys] = -1
+        num, den = np.zeros(len(keys)), np.zeros(len(keys))
+        for a, b, sim in rows.found():
+            for u, v in ((a, b), (b, a)):
+                count = many[u]
+                pair = np.repeat(np.arange(len(u)), count)
+                ask = np.repeat(begin[u], count) + np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+                known = place[ask] >= 0
+                pair, ask = pair[known], ask[known]
+                at, hit = rows.look(v[pair], place[ask])
+                pair, ask, at = pair[hit], ask[hit], at[hit]
+                w = sim[pair]
+                num += np.bincount(ask, (rows.value[at] - mean[v[pair]]) * w, minlength=len(keys))
+                den += np.bincount(ask, w, minlength=len(keys))
+        got = np.flatnonzero(den > 0)
+        yield pa.RecordBatch.from_arrays([rows.names.take(pa.array(of[got])), pa.array(keys[got]), pa.array(num[got]), pa.array(den[got])], names=["r", "key", "num", "den"])
+
+    return _in_tasks(dealt(sets, rule.least, "asks", "mean"), rule, "r string, key long, num double, den double", make)

@@ -131,14 +131,42 @@ def item_cf_predict(pairs: DataFrame, rated: DataFrame, model: DataFrame, averag
     return asked.join(best, ["user_id", "business_id"], "left").join(known, "business_id", "left").select("user_id", "business_id", F.coalesce("p", "avg_stars", F.lit(default)).alias("stars"))
 
 
-def user_cf_predict(pairs: DataFrame, rated: DataFrame, model: DataFrame, averages: DataFrame, default: float = DEFAULT_STARS) -> DataFrame:
-    """``(user_id, business_id, stars)``: the user's average plus the weighted mean of how far similar users' ratings of the
-    business lie from their averages; without any, the user's average, or ``default``. Pairs of unknown ids are left out."""
-    asked = _wanted(pairs, rated)
+def _moved(asked: DataFrame, rated: DataFrame, model: DataFrame, averages: DataFrame, default: float) -> DataFrame:
+    """``(user_id, business_id, num, den)`` of the asked pairs: of the similar users' ratings of the business, the sums of
+    ``sim`` times how far they lie from their averages, and of ``sim``."""
     sims = model.select(F.col("u1").alias("user_id"), F.col("u2").alias("near"), "sim").unionByName(model.select(F.col("u2").alias("user_id"), F.col("u1").alias("near"), "sim"))
     near = asked.join(sims, "user_id")
     theirs = rated.select(F.col("user_id").alias("near"), "business_id", F.col("stars").alias("r")).join(averages.select(F.col("user_id").alias("near"), F.col("avg_stars").alias("avg_near")), "near", "left")
-    moved = near.join(theirs, ["near", "business_id"]).groupBy("user_id", "business_id").agg(
-        (F.sum((F.col("r") - F.coalesce("avg_near", F.lit(default))) * F.col("sim")) / F.sum("sim")).alias("delta"))
-    base = asked.join(averages.select("user_id", "avg_stars"), "user_id", "left").join(moved, ["user_id", "business_id"], "left")
+    return near.join(theirs, ["near", "business_id"]).groupBy("user_id", "business_id").agg(
+        F.sum((F.col("r") - F.coalesce("avg_near", F.lit(default))) * F.col("sim")).alias("num"), F.sum("sim").alias("den"))
+
+
+def _moved_where_met(asked: DataFrame, rated: DataFrame, averages: DataFrame, default: float, min_corated: int = 3, min_jaccard: float = 0.01) -> DataFrame:
+    """:func:`_moved` by the pairs of :func:`user_cf_model`, summed up in the tasks that find them."""
+    able = _able(rated, min_corated)
+    common = written(neighbours.item_keys(able, "business_id"), "keys")
+    rule = _similar_users(common, min_corated, min_jaccard, True)
+    # asked businesses on which users are not compared
+    others = dense_index(asked.join(common, "business_id", "left_anti"), "business_id")
+    keys = written(common.unionByName(others.select("business_id", (-1 - F.col("idx")).alias("key"))), "all-keys")
+    rows = rated.join(able.select("user_id").distinct(), "user_id", "left_semi").join(keys, "business_id")
+    asks = asked.join(keys, "business_id").groupBy(F.col("user_id").alias("r")).agg(F.collect_list("key").alias("asks"))
+    sets = neighbours.packed(rows.select(F.col("user_id").alias("r"), "key", F.col("stars").alias("v"))).join(asks, "r", "left").join(averages.withColumnRenamed("user_id", "r"), "r", "left")
+    sets = written(sets.select("r", "n", "keys", "vals", F.coalesce("asks", F.array().cast("array<bigint>")).alias("asks"), F.coalesce("avg_stars", F.lit(default)).alias("mean")), "users")
+    moved = neighbours.moved_by_small_pairs(sets, rule).join(keys, "key").select(F.col("r").alias("user_id"), "business_id", "num", "den")
+    if (large := _large_pairs(sets, rule)) is not None:
+        moved = moved.unionByName(_moved(asked, rated, large.toDF("u1", "u2", "sim"), averages, default))
+    return moved
+
+
+def user_cf_predict(pairs: DataFrame, rated: DataFrame, model: DataFrame | None, averages: DataFrame, default: float = DEFAULT_STARS) -> DataFrame:
+    """``(user_id, business_id, stars)``: the user's average plus the weighted mean of how far similar users' ratings of the
+    business lie from their averages; without any, the user's average, or ``default``. Pairs of unknown ids are left out.
+
+    Without ``model``, similar users are those of :func:`user_cf_model`, of which no pair is moved.
+    """
+    asked = written(_wanted(pairs, rated), "asked")
+    moved = _moved_where_met(asked, rated, averages, default) if model is None else _moved(asked, rated, model, averages, default)
+    delta = moved.groupBy("user_id", "business_id").agg((F.sum("num") / F.sum("den")).alias("delta"))
+    base = asked.join(averages.select("user_id", "avg_stars"), "user_id", "left").join(delta, ["user_id", "business_id"], "left")
     return base.select("user_id", "business_id", (F.coalesce("avg_stars", F.lit(default)) + F.coalesce("delta", F.lit(0.0))).alias("stars"))

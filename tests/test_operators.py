@@ -208,6 +208,27 @@ def signed(held, pairs) -> set:
     return {(a, b) for a, b in pairs if any(x == y for x, y in zip(sig[a], sig[b]))}
 
 
+@pytest.mark.parametrize("large, block, dense", [(512, 2048, 256), (9, 20, 4)])
+def test_prediction_by_users_of_popular_businesses(spark, monkeypatch, large, block, dense):
+    """The tasks that find similar users sum up what these say; neither pairs nor ratings are moved for it."""
+    for name, value in (("LARGE", large), ("BLOCK", block), ("DENSE", dense)):
+        monkeypatch.setattr(neighbours, name, value)
+    held, draw = taste(300, 4), random.Random(4)
+    raters = collections.Counter(b for _, b, _ in held)
+    seldom = [b for b in sorted(raters) if raters[b] < 3]
+    asked = [(f"u{draw.randrange(300)}", b) for b in seldom for _ in range(20)] + [(f"u{u}", f"hub{u % 6}") for u in range(200)] + [("u1", "nowhere"), ("nobody", "hub1"), (None, "hub1"), ("u2", "hub2")]
+    rated, wanted = spark.createDataFrame(held, "user_id string, business_id string, stars double"), spark.createDataFrame(asked, "user_id string, business_id string")
+    averages, found = recommend.entity_averages(rated, "user_id").where("user_id != 'u7'"), {}
+    moved = shuffled(spark, lambda: found.update({r[:2]: r[2] for r in map(tuple, recommend.user_cf_predict(wanted, rated, None, averages).collect())}))
+    want = {r[:2]: r[2] for r in map(tuple, recommend.user_cf_predict(wanted, rated, recommend.user_cf_model(rated), averages).collect())}
+    means = dict(map(tuple, averages.collect()))
+    for kind in (seldom, ["hub1"]):
+        assert sum(abs(v - means.get(u, 3.83)) > 1e-9 for (u, b), v in want.items() if b in kind) >= 5
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    if block == 2048:
+        assert moved < 20 * len(held)
+
+
 def test_similar_candidates_of_popular_records(spark, monkeypatch):
     """Candidates of one-row bands between records of many items and no similarity are not spread over their items."""
     held = [(f"r{k:02d}", f"i{j}") for k in range(40) for j in range(k * 100, k * 100 + 104)]
